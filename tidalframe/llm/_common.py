@@ -137,3 +137,23 @@ def near_codes(keyed: DataFrame, most: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(both[at : at + 65536, 0]), pa.array(both[at : at + 65536, 1])], ["u", "v"])
 
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(match, "u bigint, v bigint").distinct()
+
+
+def training_rows(docs: DataFrame, label: str, most: int) -> list[tuple]:
+    """[(text, label)] of a bounded sample of rows outside the held-out quarter.
+
+    Rows whose crc32(doc_id as text) mod 4 is 2, or without a label, never count.
+    Labels are counted first; each then gives about ``most`` rows, those of the
+    least hashes of doc_id. The driver gets ``most`` rows a label in expectation.
+    """
+    known = docs.where(F.col(label).isNotNull() & F.expr("crc32(cast(doc_id as string)) % 4 <> 2"))
+    counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
+    return sorted((r[0], r[1]) for r in known.where(sampled(counts, label, most)).select("text", label).collect()) if counts else []
+
+
+def sampled(counts: dict, label: str, most: int):
+    """Column: whether a row is among the about ``most`` of its label with the least hashes of doc_id."""
+    bound = F.lit(0)
+    for k, n in sorted(counts.items()):
+        bound = F.when(F.col(label) == F.lit(k), F.lit(int(min(1.0, most / n) * 2**31))).otherwise(bound)
+    return F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(2**31)) < bound

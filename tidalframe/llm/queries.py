@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe_segment_tree, perspectives, simhash_golay, string_tiling, topk_norm, warc_revisits
+from . import bpe_segment_tree, byte_cnn, fuzzy_lines, perspectives, simhash_golay, string_tiling, topk_norm, toxic_lexicon, warc_revisits
 
 
 def queries() -> dict:
     return {
+        "op1_fuzzy_lines": fuzzy_lines.op1_query,
         "op2_warc_revisits": warc_revisits.op2_query,
         "op3_norm_topk": topk_norm.op3_query,
         "op4_simhash_golay": simhash_golay.op4_query,
         "op5_perspectives": perspectives.op5_query,
+        "op6_toxic_lexicon": toxic_lexicon.op6_query,
+        "op7_byte_cnn": byte_cnn.op7_query,
         "op8_bpe_segment_tree": bpe_segment_tree.op8_query,
         "op10_string_tiling": string_tiling.op10_query,
     }
