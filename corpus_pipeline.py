@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidalframe.llm import bpe_segment_tree, simhash_golay, string_tiling
+from tidalframe.llm import bpe_segment_tree, byte_cnn, fuzzy_lines, simhash_golay, string_tiling
 from tidalframe.llm._common import stage
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language the byte network doesn't recognise (no letter, or a score below a half)."""
+    return byte_cnn.keep_identified(docs, byte_cnn.train(docs))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one occurrence of each group of similar lines."""
+    return fuzzy_lines.drop_duplicate_lines(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each SimHash component."""
     return simhash_golay.drop_near_duplicates(docs)
@@ -23,7 +33,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_segment_tree.digests(bpe_segment_tree.encode_decode(docs))
 
 
-STAGES = [("near_dedup", near_dedup), ("decontaminate", decontaminate), ("tokenize", tokenize)]
+STAGES = [("identify_language", identify_language), ("dedup_lines", dedup_lines), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("tokenize", tokenize)]
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_segment_tree, byte_cnn, fuzzy_lines, perspectives, simhash_golay, string_tiling, topk_norm, toxic_lexicon, warc_revisits
+from . import bilstm_crf, bpe_segment_tree, byte_cnn, fuzzy_lines, perspectives, simhash_golay, string_tiling, topk_norm, toxic_lexicon, warc_revisits
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_toxic_lexicon": toxic_lexicon.op6_query,
         "op7_byte_cnn": byte_cnn.op7_query,
         "op8_bpe_segment_tree": bpe_segment_tree.op8_query,
+        "op9_bilstm_crf": bilstm_crf.op9_query,
         "op10_string_tiling": string_tiling.op10_query,
     }
 
