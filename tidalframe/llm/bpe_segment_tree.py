@@ -11,8 +11,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 100_000
-CACHE_BYTES = 64
+CACHE_WORDS = 250_000  # of each of two generations
+CACHE_CHARS = 64
 _NONE = 1 << 62
 
 
@@ -42,6 +42,7 @@ class SegmentTreeBPE:
         self.words = regex.compile(pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the generation before; what is used again moves on
 
     def merge_word(self, word: bytes) -> list[int]:
         """Ids of one pre-token. Leaves hold rank * n + position of each adjacent pair, so the root is the leftmost pair of the lowest rank; a merge changes three leaves and their ancestors."""
@@ -93,7 +94,7 @@ class SegmentTreeBPE:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        out, cache = [], self.cache
+        out, cache, old = [], self.cache, self.old
         for piece in self.cut.split(text) if self.cut and any(t in text for t in self.special) else (text,):
             if piece in self.special:
                 out.append(struct.pack("<I", self.special[piece]))
@@ -101,11 +102,14 @@ class SegmentTreeBPE:
             for w in self.words(piece):
                 got = cache.get(w)
                 if got is None:
-                    ids = self.merge_word(w.encode())
-                    got = struct.pack(f"<{len(ids)}I", *ids)
-                    if len(w) <= CACHE_BYTES:
+                    got = old.get(w)
+                    if got is None:
+                        ids = self.merge_word(w.encode())
+                        got = struct.pack(f"<{len(ids)}I", *ids)
+                    if len(w) <= CACHE_CHARS:
                         if len(cache) >= CACHE_WORDS:
-                            cache.clear()
+                            old = self.old = cache
+                            cache = self.cache = {}
                         cache[w] = got
                 out.append(got)
         return b"".join(out)
