@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,31 +68,24 @@ def ewm_array(values: Column, alpha: float, adjust: bool = True, min_periods: in
 def ewm_frame(series: DataFrame, spans: dict[str, float]) -> DataFrame:
     """(series_id, ts, value, one column for each name): adjusted exponential means by a blocked window sum.
 
-    alpha = 2 / (span + 1). Weights are scaled within each block of rows, so that
-    they neither under- nor overflow, and block ends are carried on by a window over
-    blocks: linear in the length of a series, and never an array of it.
+    alpha = 2 / (span + 1). Weights are scaled within blocks of rows over which
+    they fall to e**-40, so that they neither under- nor overflow and only the
+    block before still counts: linear in the length of a series, and never an
+    array of it.
     """
-    block = 256
-    w, inside, over = ordered(), Window.partitionBy(ID, "_b").orderBy("_n"), Window.partitionBy(ID).orderBy("_b")
-    out = series.withColumn("_n", F.row_number().over(w) - 1).withColumn("_b", F.floor(F.col("_n") / block)).withColumn("_i", F.col("_n") % block)
-    for name, span in spans.items():
-        keep = 1 - 2 / (span + 1)
-        up = F.pow(F.lit(keep), -F.col("_i"))
-        out = out.withColumn(f"_s_{name}", F.sum(F.col(VALUE) * up).over(inside) * F.pow(F.lit(keep), F.col("_i")))
-    ends = out.groupBy(ID, "_b").agg(*[F.max_by(f"_s_{n}", "_n").alias(f"_e_{n}") for n in spans])
-    for name, span in spans.items():
-        keep = 1 - 2 / (span + 1)
-        full_block = keep**block
-        # what earlier blocks add at the start of this one; a few suffice for any precision
-        parts = [F.coalesce(F.lag(f"_e_{name}", k).over(over), F.lit(0.0)) * full_block ** (k - 1) for k in range(1, 9) if full_block ** (k - 1) > 1e-18]
-        ends = ends.withColumn(f"_c_{name}", sum(parts[1:], parts[0]))
-    ends = ends.select(F.col(ID).alias("_id"), F.col("_b").alias("_bb"), *[f"_c_{n}" for n in spans])
-    j = out.join(ends, (F.col(ID) == F.col("_id")) & (F.col("_b") == F.col("_bb")))
+    out = series.withColumn("_n", F.row_number().over(ordered()) - 1)
     for name, span in spans.items():
-        keep = 1 - 2 / (span + 1)
-        s = F.col(f"_s_{name}") + F.col(f"_c_{name}") * F.pow(F.lit(keep), F.col("_i") + 1)
-        j = j.withColumn(name, s / ((1 - F.pow(F.lit(keep), F.col("_n") + 1)) / (1 - keep)))
-    return j.select(*series.columns, *spans)
+        fall = -math.log(1 - 2 / (span + 1)) if span > 1 else 40.0
+        block = max(1, math.ceil(40 / fall))
+        inside = Window.partitionBy(ID, "_b").orderBy("_n")
+        i = F.col("_n") % block
+        j = out.withColumn("_b", F.floor(F.col("_n") / block)).withColumn("_s", F.sum(F.col(VALUE) * F.exp(fall * i)).over(inside) * F.exp(-fall * i))
+        ends = j.groupBy(ID, "_b").agg(F.max_by("_s", "_n").alias("_e")).select(F.col(ID).alias("_id"), (F.col("_b") + 1).alias("_bb"), "_e")
+        j = j.join(ends, (F.col(ID) == F.col("_id")) & (F.col("_b") == F.col("_bb")), "left")
+        total = F.col("_s") + F.coalesce("_e", F.lit(0.0)) * F.exp(-fall * (i + 1))
+        weight = (1 - F.exp(-fall * (F.col("_n") + 1))) / (1 - math.exp(-fall))
+        out = j.withColumn(name, total / weight).drop("_b", "_s", "_id", "_bb", "_e")
+    return out.drop("_n")
 
 
 def macd_arrays(v: Column, n_fast: int = 12, n_slow: int = 21) -> dict[str, Column]:

@@ -136,7 +136,7 @@ def grid(series: DataFrame, step: str) -> DataFrame:
     ends = series.groupBy(ID).agg(F.min(TS).alias("a"), F.max(TS).alias("b"))
     s = F.expr(f"interval {step}")
     points = ends.select(ID, "a", F.explode(F.sequence(F.date_trunc("day", "a"), "b", s)).alias(TS))
-    return points.where(F.col(TS) >= F.expr(f"a - interval {step}")).select(ID, TS)
+    return points.where(F.col(TS) > F.expr(f"a - interval {step}")).select(ID, TS)
 
 
 def interpolate(series: DataFrame, step: str, method: str = "linear") -> DataFrame:

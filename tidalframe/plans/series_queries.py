@@ -17,8 +17,11 @@ from ..operators import detectors as D
 from ..operators import features as T
 from ..operators import forecast as P
 from ..operators import kernels as K
+from ..operators import meta as A
+from ..operators import simulate as Z
 from ..operators import series as S
 from ..sources import tables as R
+from ..streaming import incremental as L
 from ..sources.tables import daily_events, daily_orders, hourly_events, monthly_lineitem, naive_forecasts, two_sample
 
 ID, TS, VALUE = S.ID, S.TS, S.VALUE
@@ -374,3 +377,47 @@ for _n, _c in (("expanding", False), ("rolling", True)):
 query("backtest")(lambda s, d: P.summarize(P.backtest(P.folds(daily_events(s, d), 0.5, 0.2, 3), "theta", ["mae", "smape"]), ["mae", "smape"], True))
 query("tune_grid")(lambda s, d: P.tune(daily_events(s, d), [("theta", {"period": 7}), ("naive", {}), ("linear", {}), *[("arima", p) for p in P.grid_of({"p": [0, 1], "d": [0, 1], "q": [0]})]]))
 query("temporal_reconciliation")(lambda s, d: P.temporal_reconciliation(daily_events(s, d), [1, 2, 4], 8, "theta"))
+
+
+# ---- streams, simulation, meta-learning ------------------------------------------------------------------------
+
+
+def _stream(s, d):
+    path = L.scratch(s, "events")
+    s.read.parquet(f"{d}/events.parquet").select("event_type", "ts", "value").write.parquet(path)
+    return L.read_stream(s, path)
+
+
+def _daily_stream(s, d):
+    """Daily counts, written once and read back as a stream."""
+    path = L.scratch(s, "daily")
+    daily_events(s, d).write.parquet(path)
+    return L.read_stream(s, path)
+
+
+query("stream_tumbling", "SELECT event_type, date_trunc('hour', ts) AS ts, count(*) AS n, round(max(value), 6) AS top FROM events GROUP BY 1, 2")(
+    lambda s, d: L.drain(L.tumbling(_stream(s, d), "1 hour", "2 hours", ["event_type"], n=F.count("*"), top=F.max("value")), "complete")
+)
+query("stream_rolling_z", SQL["rolling_detector"])(lambda s, d: L.drain(L.stateful(_daily_stream(s, d), *L.rolling_z(7))))
+query("stream_cusum")(lambda s, d: L.drain(L.stateful(_daily_stream(s, d), *L.page_cusum(66, 5, 40))))
+query("stream_two_sample")(lambda s, d: L.drain(L.stateful(_daily_stream(s, d), *L.two_sample(7, 3))))
+query("simulate")(lambda s, d: Z.add_noise(Z.spikes(Z.level_shift(Z.add_seasonality(Z.add_trend(Z.base(s, 3, 120), 0.5), 5, 7 * 86400), 60, 90, 20.0), [30], 4), 1.0))
+query("level_shift_simulated", f"SELECT series_id, ts, round(value + CASE WHEN row_number() OVER {W} - 1 BETWEEN 5 AND 9 THEN 20 ELSE 0 END, 6) AS value FROM {{D}}")(lambda s, d: Z.level_shift(daily_events(s, d), 5, 10, 20.0))
+query("trend_shift_simulated", f"SELECT series_id, ts, round(value + greatest(row_number() OVER {W} - 11, 0) * 1.5, 6) AS value FROM {{D}}")(lambda s, d: Z.trend_shift(daily_events(s, d), 10, 1.5))
+query("metadata")(lambda s, d: A.metadata(daily_events(s, d), [("theta", {"period": 7}), ("naive", {}), ("linear", {})], ("basic", "gradient")))
+
+
+def _selected(s, d):
+    meta = A.metadata(daily_orders(s, d).withColumn(ID, F.concat_ws("/", ID, F.year(TS))), [("theta", {"period": 7}), ("naive", {}), ("linear", {})], ("basic", "gradient")).cache()
+    return A.select_models(A.fit_selector(meta), meta.drop("best_model", "params", "err"))
+
+
+query("model_selection")(_selected)
+
+
+def _pooled(s, d):
+    fitted, frame = A.pooled_lag_model(daily_events(s, d))
+    return A.pooled_forecast(fitted, frame)
+
+
+query("pooled_forecast")(_pooled)
