@@ -18,10 +18,13 @@ from ..operators import features as T
 from ..operators import forecast as P
 from ..operators import kernels as K
 from ..operators import meta as A
+from ..operators import residuals as E
+from ..operators import search as G
 from ..operators import simulate as Z
 from ..operators import series as S
 from ..sources import tables as R
 from ..streaming import incremental as L
+from .pipeline import Pipeline
 from ..sources.tables import daily_events, daily_orders, hourly_events, monthly_lineitem, naive_forecasts, two_sample
 
 ID, TS, VALUE = S.ID, S.TS, S.VALUE
@@ -421,3 +424,36 @@ def _pooled(s, d):
 
 
 query("pooled_forecast")(_pooled)
+
+# ---- residual detectors and further features ---------------------------------------------------------------------
+
+query("forecast_detector")(lambda s, d: E.forecast_scores(E.in_sample(daily_events(s, d)), "z"))
+query("forecast_deviation", "SELECT series_id, ts, round(y, 6) AS value, round(fcst, 6) AS fcst, round(coalesce((y - fcst) / nullif(abs(fcst), 0), 0), 6) + 0.0 AS score, y NOT BETWEEN fcst_lower AND fcst_upper AS outside FROM {F}")(lambda s, d: E.forecast_scores(naive_forecasts(s, d).withColumnRenamed("y", VALUE)))
+query("forecast_residuals", "SELECT series_id, ts, round((y - fcst) / (fcst_upper - fcst_lower), 6) + 0.0 AS residual FROM {F} WHERE fcst_upper <> fcst_lower")(lambda s, d: E.residuals(daily_orders(s, d), naive_forecasts(s, d).drop("y"), True))
+query("false_alarm_places")(lambda s, d: E.false_alarm_probability(D.rolling_detector(daily_events(s, d), 7), D.rolling_detector(daily_events(s, d), 7)))
+query("trend_scores")(lambda s, d: E.trend_scores(daily_events(s, d), 5))
+query("bocpd_trend")(lambda s, d: E.bocpd_trend(monthly_lineitem(s, d)))
+query("one_sample_proportion")(lambda s, d: E.one_sample_proportion(s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.date_trunc("month", "l_shipdate").alias(TS)).agg(F.avg((F.col("l_returnflag") == "R").cast("double")).alias("value"), F.count("*").alias("sample_count")).select(F.lit("R").alias(ID), TS, "value", "sample_count", F.lit(0.3).alias("effect_size"))))
+query(
+    "percentage_change",
+    """SELECT l_returnflag AS series_id, n0, n1, round(m0, 6) AS m0, round(m1, 6) AS m1, round(m1 / m0, 6) AS ratio, round(100 * (m1 / m0 - 1), 6) + 0.0 AS perc_change, round((m1 - m0) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)), 6) + 0.0 AS score FROM (
+  SELECT l_returnflag, count(*) FILTER (l_shipdate < TIMESTAMP '1998-01-01') AS n0, count(*) FILTER (l_shipdate >= TIMESTAMP '1998-01-01') AS n1, avg(l_quantity) FILTER (l_shipdate < TIMESTAMP '1998-01-01') AS m0, avg(l_quantity) FILTER (l_shipdate >= TIMESTAMP '1998-01-01') AS m1,
+    var_samp(l_quantity) FILTER (l_shipdate < TIMESTAMP '1998-01-01') AS v0, var_samp(l_quantity) FILTER (l_shipdate >= TIMESTAMP '1998-01-01') AS v1 FROM lineitem GROUP BY 1)""",
+)(
+    lambda s, d: E.percentage_change(
+        s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_returnflag").alias(ID)).agg(*[f(F.when(c, F.col("l_quantity"))).alias(f"{k}{i}") for i, c in enumerate((F.col("l_shipdate") < "1998-01-01", F.col("l_shipdate") >= "1998-01-01")) for k, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
+    ).select(ID, "n0", "n1", "m0", "m1", "ratio", "perc_change", "score")
+)
+query("empirical_interval")(lambda s, d: P.empirical_interval(P.forecast(daily_events(s, d), "theta", 5).select(ID, "step", "fcst"), E.empirical_errors(daily_events(s, d), "theta", 5)))
+query("bootstrap_interval")(lambda s, d: E.bootstrap_interval(daily_events(s, d), "theta", 5))
+query("features_detectors")(lambda s, d: E.detector_features(daily_events(s, d)))
+query("features_seasonality")(lambda s, d: E.seasonality_features(daily_orders(s, d)))
+query("nowcast_frame", f"SELECT series_id, ts, round(value, 6) AS value, round(lead(value) OVER {W}, 6) AS label, round(lag(value, 1) OVER {W}, 6) AS lag_1, round(lag(value, 2) OVER {W}, 6) AS lag_2, round(lag(value, 3) OVER {W}, 6) AS lag_3, round((value - lag(value, 1) OVER {W}) / nullif(lag(value, 1) OVER {W}, 0), 6) + 0.0 AS roc_2, round((value - lag(value, 2) OVER {W}) / nullif(lag(value, 2) OVER {W}, 0), 6) + 0.0 AS roc_3, round(CASE WHEN count(*) OVER r2 >= 2 THEN avg(value) OVER r2 END, 6) AS ma_2, round(CASE WHEN count(*) OVER r3 >= 3 THEN avg(value) OVER r3 END, 6) AS ma_3 FROM {{D}} WINDOW r2 AS (PARTITION BY series_id ORDER BY ts ROWS 1 PRECEDING), r3 AS (PARTITION BY series_id ORDER BY ts ROWS 2 PRECEDING)")(
+    lambda s, d: E.nowcast_frame(daily_events(s, d))
+)
+query("nowcast")(lambda s, d: E.nowcast(daily_events(s, d)))
+query("search_random")(lambda s, d: G.search(daily_events(s, d), ["harmonic", "piecewise"], "random", 3))
+query("search_halving")(lambda s, d: G.halving(daily_events(s, d), ["theta", "autoregression"]))
+query("pipeline_of_steps", f"SELECT series_id, ts, round(value, 6) AS value, round(coalesce(CASE WHEN count(*) {_P7} >= 7 THEN CASE WHEN stddev_pop(value) {_P7} = 0 THEN 0 ELSE (value - avg(value) {_P7}) / stddev_pop(value) {_P7} END END, 0), 6) + 0.0 AS score FROM (SELECT * FROM {{D}} WHERE NOT ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06')")(
+    lambda s, d: Pipeline([("cut", lambda x: S.exclude(x, "2024-01-05", "2024-01-06")), ("score", lambda x: D.rolling_detector(x, 7))]).run(daily_events(s, d))
+)
