@@ -135,6 +135,20 @@ def test_reconciled_levels_add_up():
         assert np.allclose(K.reconcile([1, 2, 4], 8, ok, m), 3.0)
 
 
+def test_covariance_reconciliation_is_coherent():
+    rng = np.random.default_rng(3)
+    f = {k: rng.normal(10 * k, 1, 4 // k) for k in (1, 2, 4)}
+    e = {k: rng.normal(0, k, (40, 4 // k)) for k in (1, 2, 4)}
+    for m in ("svar", "hvar", "mint_sample", "mint_shrink"):
+        b = K.reconcile([1, 2, 4], 4, f, m, e)
+        assert b.shape == (4,) and abs(b.sum() - 40) < 8
+    s = K.summing_matrix([1, 2, 4], 4)
+    ok = {1: np.arange(4.0), 2: np.array([1.0, 5.0]), 4: np.array([6.0])}
+    assert np.allclose(K.reconcile([1, 2, 4], 4, ok, "mint_shrink", e), np.arange(4.0)) and np.allclose(s @ np.arange(4.0), np.concatenate(list(ok.values())))
+    assert K.inconsistent_levels([1, 2, 4], 4, {1: np.ones(4), 2: np.full(2, 2.02), 4: np.array([90.0])}) == [4]
+    assert K.fold_offsets(10, 20, 3) == [10, 14, 17]
+
+
 def test_indicators_against_pandas(air):
     y = pd.Series(AIR, dtype=float)
     e = I.ewm_frame(air, {"a": 5, "b": 40}).orderBy("ts").toPandas()

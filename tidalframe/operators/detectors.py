@@ -240,6 +240,16 @@ def top_trends(trends: DataFrame, at: str, k: int) -> DataFrame:
     return trends.where(F.col(TS) == F.lit(at).cast("timestamp")).orderBy(F.abs("tau").desc(), ID).limit(k)
 
 
+def anomaly_times(scores: DataFrame, alpha: float) -> DataFrame:
+    """Times whose p_value is below alpha."""
+    return scores.where(F.col("p_value") < alpha)
+
+
+def top_anomalies(scores: DataFrame, at: str, k: int, column: str = "score") -> DataFrame:
+    """The k rows of the largest score at a time."""
+    return scores.where(F.col(TS) == F.lit(at).cast("timestamp")).orderBy(F.col(column).desc(), ID).limit(k)
+
+
 def seasonality(series: DataFrame, method: str = "fft") -> DataFrame:
     """(series_id, period): by peaks of the spectrum or of the autocorrelation."""
     return per_series(series, lambda t, v: ((float(p),) for p in (K.fft_seasonality(v) if method == "fft" else K.acf_seasonality(v))), "period double")
@@ -248,18 +258,18 @@ def seasonality(series: DataFrame, method: str = "fft") -> DataFrame:
 def dtw_anomalies(series: DataFrame, window: int, skip: int, mad_threshold: float = 1.0) -> DataFrame:
     """Series whose least-matched window is far from every window of other series.
 
-    Windows are compared in blocks of series: a block goes to the tasks as a
-    bounded list, and each task keeps the least distance of its windows, pruned by
+    Windows are compared in blocks of about 64 series: a block goes to the tasks as a
+    list, and each task keeps the least distance of its windows, pruned by
     the envelope bound.
     """
     from .series import to_arrays
 
     arrays = to_arrays(series).select(ID, "values")
     block, least, band = 64, None, max(1, window // 3)
-    ids = [r[0] for r in arrays.select(ID).distinct().orderBy(ID).toLocalIterator()]
+    blocks = -(-arrays.count() // block)
     cut = lambda v: [np.array(v[i : i + window], float) for i in range(0, len(v) - window + 1, skip) if max(v[i : i + window]) > 1e-9]
-    for at in range(0, len(ids), block):
-        others = [(r[0], cut(r[1])) for r in arrays.where(F.col(ID).isin(ids[at : at + block])).collect()]
+    for at in range(blocks):
+        others = [(r[0], cut(r[1])) for r in arrays.where(F.pmod(F.xxhash64(ID), F.lit(blocks)) == at).collect()]
 
         def run(batches, others=others):
             for f in batches:

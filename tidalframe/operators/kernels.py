@@ -650,8 +650,42 @@ def reconcile(levels: list[int], m: int, forecasts: dict[int, np.ndarray], metho
     if method == "struc":
         w = np.concatenate([np.full(m // k, float(k)) for k in levels])
     elif method in ("svar", "hvar"):
-        w = np.concatenate([np.full(m // k, float(np.mean(np.asarray(residuals[k]) ** 2)) + 1e-5) for k in levels])
+        # svar: one variance a level; hvar: one for each row, residuals given by cycles of m // k columns
+        w = np.concatenate([np.full(m // k, (np.asarray(residuals[k]) ** 2).mean()) if method == "svar" else (np.asarray(residuals[k]) ** 2).reshape(-1, m // k).mean(0) for k in levels]) + 1e-5
+    elif method in ("mint_sample", "mint_shrink"):
+        e = np.hstack([np.asarray(residuals[k], float).reshape(-1, m // k) for k in levels])
+        cov = e.T @ e / len(e)
+        if method == "mint_shrink":
+            sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+            z = e / sd
+            r = z.T @ z / len(e)
+            spread = ((z[:, :, None] * z[:, None, :] - r) ** 2).mean(0) / max(1, len(e) - 1)
+            off = ~np.eye(len(r), dtype=bool)
+            part = float(np.clip(spread[off].sum() / max((r[off] ** 2).sum(), 1e-12), 0, 1))
+            cov = np.where(off, (1 - part) * cov, cov)
+        inv = np.linalg.inv(cov + 1e-5 * np.eye(len(cov)))
+        return np.linalg.solve(s.T @ inv @ s, s.T @ inv @ y)
     else:
         raise ValueError(f"no method {method!r}")
     g = s.T / w
     return np.linalg.solve(g @ s, g @ y)
+
+
+def inconsistent_levels(levels: list[int], m: int, forecasts: dict[int, np.ndarray], threshold: float = 5.0) -> list[int]:
+    """Levels whose mean absolute distance from the median forecast is above ``threshold`` times the median distance."""
+    mid = reconcile(levels, m, forecasts, "median")
+    d = {k: float(np.abs(np.repeat(np.asarray(forecasts[k], float)[: m // k] / k, k) - mid).mean()) for k in levels}
+    bar = threshold * float(np.median(list(d.values())))
+    return [k for k in levels if d[k] > bar]
+
+
+def fold_offsets(start: int, end: int, folds: int) -> list[int]:
+    """First positions of as many even stretches."""
+    return [int(x[0]) for x in np.array_split(np.arange(start, end), folds) if len(x)]
+
+
+def mean_interval(x: np.ndarray, confidence: float = 0.8) -> tuple[float, float, float]:
+    """Mean and its t interval."""
+    x = np.asarray(x, float)
+    half = t_ppf((1 + confidence) / 2, len(x) - 1) * x.std(ddof=1) / math.sqrt(len(x)) if len(x) > 1 else 0.0
+    return float(x.mean()), float(x.mean() - half), float(x.mean() + half)

@@ -193,3 +193,36 @@ def pad_front(series: DataFrame, step: str, n: int) -> DataFrame:
     first = series.groupBy(ID).agg(F.min(TS).alias("a"), F.min_by(VALUE, TS).alias(VALUE))
     extra = first.select(ID, F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.expr("a") - i * F.expr(f"interval {step}"))).alias(TS), VALUE)
     return series.select(ID, TS, VALUE).unionByName(extra)
+
+
+def last_n(series: DataFrame, n: int) -> DataFrame:
+    """The n latest points of each series."""
+    r = F.row_number().over(Window.partitionBy(ID).orderBy(F.col(TS).desc()))
+    return series.withColumn("_r", r).where(F.col("_r") <= n).drop("_r")
+
+
+def fill_missing(series: DataFrame, step: str) -> DataFrame:
+    """Every grid time, without a value where there was none."""
+    have = series.select(F.col(ID).alias("_id"), F.col(TS).alias("_ts"), VALUE)
+    return grid(series, step).join(have, (F.col(ID) == F.col("_id")) & (F.col(TS) == F.col("_ts")), "left").select(ID, TS, VALUE)
+
+
+def normalize(series: DataFrame, by: str = "mean", how: str = "div", least: float = 1e-8) -> DataFrame:
+    """Values less (sub), over (div) or less and over (sub_div: z) a statistic of their series, kept in ``center`` and ``scale``."""
+    e = Window.partitionBy(ID)
+    stat = {"mean": F.avg(VALUE), "median": F.percentile(VALUE, F.lit(0.5)), "max": F.max(VALUE), "std": F.stddev_pop(VALUE)}
+    center = stat["mean"].over(e) if how == "sub_div" else stat[by].over(e) if how == "sub" else F.lit(0.0)
+    scale = F.lit(1.0) if how == "sub" else (stat["std"] if how == "sub_div" else stat[by]).over(e)
+    s = series.withColumn("center", center).withColumn("scale", F.when(F.abs(scale) < least, F.lit(least)).otherwise(scale))
+    return s.withColumn(VALUE, (F.col(VALUE) - F.col("center")) / F.col("scale"))
+
+
+def denormalize(frame: DataFrame, column: str = VALUE) -> DataFrame:
+    return frame.withColumn(column, F.col(column) * F.col("scale") + F.col("center")).drop("center", "scale")
+
+
+def first_missing(numbers: DataFrame, column: str) -> DataFrame:
+    """(first_missing): the least whole number from 0 on that the column lacks."""
+    n = numbers.select(F.col(column).cast("bigint").alias("v")).where("v >= 0").distinct()
+    ahead = n.select((F.col("v") + 1).alias("v")).unionAll(n.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("v")))
+    return ahead.join(n, "v", "left_anti").agg(F.min("v").alias("first_missing"))

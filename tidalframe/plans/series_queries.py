@@ -457,3 +457,13 @@ query("search_halving")(lambda s, d: G.halving(daily_events(s, d), ["theta", "au
 query("pipeline_of_steps", f"SELECT series_id, ts, round(value, 6) AS value, round(coalesce(CASE WHEN count(*) {_P7} >= 7 THEN CASE WHEN stddev_pop(value) {_P7} = 0 THEN 0 ELSE (value - avg(value) {_P7}) / stddev_pop(value) {_P7} END END, 0), 6) + 0.0 AS score FROM (SELECT * FROM {{D}} WHERE NOT ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06')")(
     lambda s, d: Pipeline([("cut", lambda x: S.exclude(x, "2024-01-05", "2024-01-06")), ("score", lambda x: D.rolling_detector(x, 7))]).run(daily_events(s, d))
 )
+
+query("last_points", "SELECT series_id, ts, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS r FROM {D}) WHERE r <= 5")(lambda s, d: S.last_n(daily_events(s, d), 5))
+query("fill_missing", "SELECT k.series_id, k.ts, round(v.value, 6) AS value FROM (SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM {H} GROUP BY series_id) k LEFT JOIN {H} v USING (series_id, ts)")(lambda s, d: S.fill_missing(hourly_events(s, d), "1 hour"))
+query("normalize_z", "SELECT series_id, ts, round((value - avg(value) OVER p) / stddev_pop(value) OVER p, 6) + 0.0 AS value, round(avg(value) OVER p, 6) AS center, round(stddev_pop(value) OVER p, 6) AS scale FROM {D} WINDOW p AS (PARTITION BY series_id)")(lambda s, d: S.normalize(daily_events(s, d), how="sub_div"))
+query("denormalize", "SELECT series_id, ts, round(value, 6) AS value FROM {D}")(lambda s, d: S.denormalize(S.normalize(daily_events(s, d), "median")))
+query("first_missing", "SELECT min(v) AS first_missing FROM (SELECT c_custkey + 1 AS v FROM customer UNION ALL SELECT 0) WHERE v NOT IN (SELECT c_custkey FROM customer)")(lambda s, d: S.first_missing(s.read.parquet(f"{d}/customer.parquet"), "c_custkey"))
+query("top_deviations", "SELECT series_id, ts, round(value, 6) AS score, value NOT BETWEEN 30 AND 80 AS alert FROM {D} WHERE ts = TIMESTAMP '2024-01-10' ORDER BY value DESC, series_id LIMIT 2")(lambda s, d: D.top_anomalies(D.static_threshold(daily_events(s, d), 30, 80), "2024-01-10", 2))
+query("top_trends")(lambda s, d: D.top_trends(D.mann_kendall(monthly_lineitem(s, d)), "1998-01-01", 2))
+query("anomaly_times")(lambda s, d: D.anomaly_times(D.multivariate_anomaly(*_wide_events(s, d), 20), 0.1))
+query("arrays", "SELECT series_id, len(list(value)) AS n, round(list_sum(list(value)), 6) AS total FROM {D} GROUP BY 1")(lambda s, d: S.to_arrays(daily_events(s, d)).select(ID, F.size("values").cast("bigint").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total")))
