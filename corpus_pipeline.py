@@ -9,7 +9,7 @@ from tidalframe.llm._common import stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language the byte network doesn't recognise (no letter, or a score below a half)."""
+    """Drops documents whose language the byte network doesn't recognise (no letter, or a score below LEAST_SCORE)."""
     return byte_cnn.keep_identified(docs, byte_cnn.train(docs))
 
 

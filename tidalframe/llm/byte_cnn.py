@@ -17,6 +17,7 @@ FILTERS = 12  # of each width
 EMBED = 6
 MAX_TRAIN_DOCS = 2_000  # labelled documents a language that are fitted to, in expectation
 MAX_TRAIN_WINDOWS = 8  # of each
+LEAST_SCORE = 0.35  # below, a language counts as not recognised: short and mixed texts score 0.4 to 0.5
 _STEP = WINDOW - max(WIDTHS) + 1
 _LETTER = re.compile(r"[^\W\d_]")
 _IS_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
@@ -161,7 +162,7 @@ def identify(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, net: ByteCNN | None, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, net: ByteCNN | None, least: float = LEAST_SCORE) -> DataFrame:
     """docs whose language is recognised with a score of ``least`` or more; columns unchanged."""
 
     def run(batches, at=docs.columns.index("text")):
