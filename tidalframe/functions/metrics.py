@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ParameterError
 from ..operators.series import ID, TS, divide
 
 NAN = float("nan")
@@ -145,7 +146,7 @@ def metric(name: str) -> Callable:
     """The aggregate builder of a metric, by name or alias."""
     name = ALIASES.get(name, name)
     if name not in METRICS:
-        raise ValueError(f"no metric {name!r}; there are {sorted(METRICS) + sorted(ALIASES)}")
+        raise ParameterError(f"no metric {name!r}; there are {sorted(METRICS) + sorted(ALIASES)}")
     return METRICS[name]
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ParameterError
 from .series import ID, TS, VALUE, ordered
 
 
@@ -154,5 +155,5 @@ def features(series: DataFrame, groups=DEFAULT, without=()) -> DataFrame:
     """One row a series with the chosen groups' columns; shorter series than LEAST_POINTS have none."""
     unknown = set([*groups, *without]) - set(GROUPS)
     if unknown or set(groups) & set(without):
-        raise ValueError(f"unknown or contradictory groups: {sorted(unknown or set(groups) & set(without))}")
+        raise ParameterError(f"unknown or contradictory groups: {sorted(unknown or set(groups) & set(without))}")
     return reduce(lambda a, b: a.join(b, ID, "left"), [GROUPS[g](series) for g in groups])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import DataError, IrregularGranularityError, ParameterError
+
 ID, TS, VALUE = "series_id", "ts", "value"
 
 
@@ -51,7 +53,7 @@ def from_frame(
     values = list(values or [c for c in df.columns if c not in taken])
     bad = [c for c in values if dict(df.dtypes)[c] not in ("tinyint", "smallint", "int", "bigint", "float", "double") and not dict(df.dtypes)[c].startswith("decimal")]
     if bad:
-        raise ValueError(f"value columns must be numeric: {bad}")
+        raise DataError(f"value columns must be numeric: {bad}")
     key_col = F.col(key) if isinstance(key, str) else key
     one = len(values) == 1 and key_col is not None
     pairs = F.array(*[F.struct((key_col.cast("string") if one else F.concat_ws("/", *([key_col.cast("string")] if key_col is not None else []), F.lit(c))).alias(ID), clean(c).alias(VALUE)) for c in values])
@@ -87,8 +89,12 @@ def exclude(series: DataFrame, start: str, end: str) -> DataFrame:
     return series.where(~F.col(TS).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
 
 
-def extend(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b, allowMissingColumns=True)
+def extend(a: DataFrame, b: DataFrame, validate: bool = False) -> DataFrame:
+    """Both frames' points; validate fails if a series' steps then differ."""
+    out = a.unionByName(b, allowMissingColumns=True)
+    if validate and (bad := is_missing(out).where("missing").limit(5).collect()):
+        raise IrregularGranularityError(f"steps differ in {[r[0] for r in bad]}")
+    return out
 
 
 def divide(a: Column, b: Column) -> Column:
@@ -176,7 +182,7 @@ def rename_by_prefix(df: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     for prefix, new in prefixes.items():
         hit = [c for c in df.columns if c.startswith(prefix)]
         if len(hit) != 1:
-            raise ValueError(f"prefix {prefix!r} matches {hit}")
+            raise ParameterError(f"prefix {prefix!r} matches {hit}")
         names[hit[0]] = new
     return df.withColumnsRenamed(names)
 

@@ -172,9 +172,6 @@ e AS (SELECT series_id, ts, i, value AS s5, CAST(1 AS DOUBLE) AS w5, value AS s1
   UNION ALL SELECT n.series_id, n.ts, n.i, e.s5 * (1 - 2 / 6.0) + n.value, e.w5 * (1 - 2 / 6.0) + 1, e.s12 * (1 - 2 / 13.0) + n.value, e.w12 * (1 - 2 / 13.0) + 1 FROM e JOIN n ON n.series_id = e.series_id AND n.i = e.i + 1)
 """
 query("ewm", _EWM + "SELECT series_id, ts, round(s5 / w5, 6) AS ema5, round(s12 / w12, 6) AS ema12 FROM e")(lambda s, d: I.ewm_frame(daily_events(s, d), {"ema5": 5, "ema12": 12}).drop(VALUE))
-query("macd")(lambda s, d: I.exploded(S.to_arrays(daily_events(s, d)), I.macd_arrays(F.col("values"))))
-query("rsi")(lambda s, d: I.exploded(S.to_arrays(daily_events(s, d)), {"rsi": I.rsi_array(F.col("values"), 14)}))
-query("trix")(lambda s, d: I.exploded(S.to_arrays(daily_events(s, d)), {"trix": I.trix_array(F.col("values"), 5)}))
 query("tsi")(lambda s, d: I.exploded(S.to_arrays(daily_events(s, d)), {"tsi": I.tsi_array(F.col("values"), 10, 5)}))
 _P7 = "OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"
 _R7 = "OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
@@ -467,3 +464,39 @@ query("top_deviations", "SELECT series_id, ts, round(value, 6) AS score, value N
 query("top_trends")(lambda s, d: D.top_trends(D.mann_kendall(monthly_lineitem(s, d)), "1998-01-01", 2))
 query("anomaly_times")(lambda s, d: D.anomaly_times(D.multivariate_anomaly(*_wide_events(s, d), 20), 0.1))
 query("arrays", "SELECT series_id, len(list(value)) AS n, round(list_sum(list(value)), 6) AS total FROM {D} GROUP BY 1")(lambda s, d: S.to_arrays(daily_events(s, d)).select(ID, F.size("values").cast("bigint").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
+def _round_trip(s, d, fmt):
+    path = L.scratch(s, f"series-{fmt}")
+    R.write_series(daily_events(s, d), path, fmt)
+    return R.read_series(s, path, fmt, time=TS, values=[VALUE], key=ID)
+
+
+for _fmt in ("csv", "json", "parquet", "orc"):
+    query(f"sink_and_source_{_fmt}", "SELECT series_id, ts, round(value, 6) AS value FROM {D}")(lambda s, d, f=_fmt: _round_trip(s, d, f))
+
+query(
+    "macd",
+    """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i FROM {D}),
+e AS (SELECT series_id, ts, i, value AS f, CAST(1 AS DOUBLE) AS fw, value AS g, CAST(1 AS DOUBLE) AS gw FROM n WHERE i = 1
+  UNION ALL SELECT n.series_id, n.ts, n.i, e.f * (1 - 2 / 13.0) + n.value, e.fw * (1 - 2 / 13.0) + 1, e.g * (1 - 2 / 22.0) + n.value, e.gw * (1 - 2 / 22.0) + 1 FROM e JOIN n ON n.series_id = e.series_id AND n.i = e.i + 1),
+m AS (SELECT series_id, ts, i, f / fw - g / gw AS macd FROM e),
+s AS (SELECT series_id, i, macd AS s, CAST(1 AS DOUBLE) AS w, 1 AS k FROM m WHERE i = 20
+  UNION ALL SELECT m.series_id, m.i, s.s * 0.8 + m.macd, s.w * 0.8 + 1, s.k + 1 FROM s JOIN m ON m.series_id = s.series_id AND m.i = s.i + 1)
+SELECT m.series_id, m.ts, round(CASE WHEN m.i >= 20 THEN macd END, 6) + 0.0 AS macd, round(CASE WHEN s.k >= 8 THEN s.s / s.w END, 6) + 0.0 AS macd_signal FROM m LEFT JOIN s ON s.series_id = m.series_id AND s.i = m.i""",
+)(lambda s, d: I.exploded(S.to_arrays(daily_events(s, d)), I.macd_arrays(F.col("values"))))
+query(
+    "rsi",
+    """WITH RECURSIVE n AS (SELECT *, row_number() OVER w AS i, coalesce(value - lag(value) OVER w, 0) AS d FROM {D} WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+e AS (SELECT series_id, ts, i, CAST(0 AS DOUBLE) AS g, CAST(0 AS DOUBLE) AS l FROM n WHERE i = 1
+  UNION ALL SELECT n.series_id, n.ts, n.i, e.g * (1 - 1 / 14.0) + greatest(n.d, 0) / 14.0, e.l * (1 - 1 / 14.0) + greatest(-n.d, 0) / 14.0 FROM e JOIN n ON n.series_id = e.series_id AND n.i = e.i + 1)
+SELECT series_id, ts, round(CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END, 6) AS rsi FROM e""",
+)(lambda s, d: I.exploded(S.to_arrays(daily_events(s, d)), {"rsi": I.rsi_array(F.col("values"), 14)}))
+query(
+    "trix",
+    """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i FROM {D}),
+e AS (SELECT series_id, ts, i, value AS a, CAST(1 AS DOUBLE) AS w, value AS b, value AS c, value AS t FROM n WHERE i = 1
+  UNION ALL SELECT n.series_id, n.ts, n.i, e.a * (2 / 3.0) + n.value, e.w * (2 / 3.0) + 1, e.b * (2 / 3.0) + (e.a * (2 / 3.0) + n.value) / (e.w * (2 / 3.0) + 1),
+    e.c * (2 / 3.0) + (e.b * (2 / 3.0) + (e.a * (2 / 3.0) + n.value) / (e.w * (2 / 3.0) + 1)) / (e.w * (2 / 3.0) + 1), (e.c * (2 / 3.0) + (e.b * (2 / 3.0) + (e.a * (2 / 3.0) + n.value) / (e.w * (2 / 3.0) + 1)) / (e.w * (2 / 3.0) + 1)) / (e.w * (2 / 3.0) + 1) FROM e JOIN n ON n.series_id = e.series_id AND n.i = e.i + 1)
+SELECT series_id, ts, round(coalesce((t - lag(t) OVER w) / nullif(lag(t) OVER w, 0), 0), 6) + 0.0 AS trix FROM e WINDOW w AS (PARTITION BY series_id ORDER BY ts)""",
+)(lambda s, d: I.exploded(S.to_arrays(daily_events(s, d)), {"trix": I.trix_array(F.col("values"), 5)}))

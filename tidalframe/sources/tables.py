@@ -16,7 +16,7 @@ def read_series(spark: SparkSession, path: str, fmt: str = "csv", time: str = "t
 
 def write_series(series: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
     """Sorted by series and time within files, spread by series, so that one series' rows lie together."""
-    series.repartition(ID).sortWithinPartitions(ID, TS).write.format(fmt).mode(mode).save(path)
+    series.repartition(ID).sortWithinPartitions(ID, TS).write.format(fmt).options(**({"header": True} if fmt == "csv" else {})).mode(mode).save(path)
 
 
 def _sum(c: str):
