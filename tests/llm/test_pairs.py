@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tidalframe.llm import simhash_golay as G
-from tidalframe.llm._common import components, near_codes
+from tidalframe.llm._common import components, near_codes, runs
 
 
 def brute_components(codes, most):
@@ -103,3 +104,16 @@ def test_near_codes_of_one_dense_key(spark):
     got = {r.node: r.root for r in components(links).collect()}
     roots = brute_components([int(c) for c in codes], 3)
     assert len(set(got.values())) == len({r for r in roots if roots.count(r) > 1})
+
+
+def test_runs_across_batches():
+    rng = np.random.default_rng(0)
+    key = np.sort(rng.integers(0, 12, 500))
+    code = rng.integers(0, 1000, 500)
+    for size in (1, 3, 50, 500):
+        got = []
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(code[i : i + size])], ["key", "code"]) for i in range(0, 500, size)]
+        for v, starts in runs(iter(batches), "key", "code"):
+            got += [v[a:b].tolist() for a, b in zip(starts, [*starts[1:], len(v)])]
+        assert got == [code[key == k].tolist() for k in np.unique(key)]
+    assert list(runs(iter([]), "key", "code")) == []

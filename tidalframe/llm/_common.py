@@ -62,11 +62,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         # large star: the larger neighbours of u, at the least of u and its neighbours
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+        # "when" hides from the planner that the sums lie where the edges do: with an exchange of its own, the join can split a hub's edges
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.when(F.col("m").isNotNull(), F.col("u")).alias("n"), F.least("u", "m").alias("m"))
         large = both.join(least, both["u"] == least["n"]).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u's smaller neighbours and u itself, at the least of them
         large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.when(F.col("m").isNotNull(), F.col("u")).alias("n"), "m")
         small = large.join(low, large["u"] == low["n"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after = stage(small, "edges")
         a, b = (x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (now, after))
@@ -100,21 +101,25 @@ def forest(codes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int]]:
 
 def runs(batches: Iterable[pa.RecordBatch], key: str, value: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(values, run starts) of the keys that hold two or more values; input sorted by key; a run may cross batches."""
-    held_k = held_v = None
+    key_now, held = None, []  # the last key so far and its values, which may go on in the next batch
     for b in batches:
         if not b.num_rows:
             continue
         k = b.column(key).to_numpy(zero_copy_only=False)
         v = b.column(value).to_numpy(zero_copy_only=False)
-        if held_k is not None:
-            k, v = np.concatenate([held_k, k]), np.concatenate([held_v, v])
+        if held and k[0] == k[-1] == key_now:
+            held.append(v)
+            continue
+        if held:
+            old = np.concatenate(held)
+            k, v = np.concatenate([np.full(old.size, key_now), k]), np.concatenate([old, v])
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        last = starts[-1]  # may go on in the next batch
-        held_k, held_v = k[last:], v[last:]
+        last = starts[-1]
+        key_now, held = k[last], [v[last:]]
         if last:
             yield v[:last], starts[:-1]
-    if held_k is not None and held_k.size:
-        yield held_v, np.zeros(1, dtype=np.int64)
+    if held:
+        yield np.concatenate(held), np.zeros(1, dtype=np.int64)
 
 
 def near_codes(keyed: DataFrame, most: int) -> DataFrame:

@@ -163,12 +163,21 @@ def identify(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, net: ByteCNN | None, least: float = LEAST_SCORE) -> DataFrame:
-    """docs whose language is recognised with a score of ``least`` or more; columns unchanged."""
+    """docs whose language is recognised with a score of ``least`` or more; columns unchanged.
+
+    Null texts and texts without a letter go. Where nothing was learnt, every
+    text with a letter stays. Repeated rows and rows without an id are judged by
+    their text like any other.
+    """
 
     def run(batches, at=docs.columns.index("text")):
         for b in batches:
-            got = net.classify(b.column(at).to_pylist()) if net else [("und", 0.0)] * b.num_rows
-            yield b.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))
+            texts = b.column(at).to_pylist()
+            if net:
+                keep = [lang != "und" and score >= least for lang, score in net.classify(texts)]
+            else:
+                keep = [t is not None and _LETTER.search(t) is not None for t in texts]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
