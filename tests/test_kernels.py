@@ -41,6 +41,19 @@ def test_known_features(air):
         assert k[name] == pytest.approx(v, abs=1e-6), name
 
 
+def test_fused_groups_equal_single_ones(spark):
+    d = pd.DataFrame({"ts": pd.date_range("2020-01-01", periods=60), "value": np.random.default_rng(0).normal(size=60).round(2)})
+    s = spark.createDataFrame(d).select(F.lit("a").alias("series_id"), "ts", "value")
+    s = s.unionByName(s.limit(8).withColumn("series_id", F.lit("short"))).unionByName(s.limit(3).withColumn("series_id", F.lit("tiny")))
+    one = {r.series_id: r.asDict() for r in T.fused(s).collect()}
+    assert sorted(one) == ["a", "short"]
+    for g in T.FUSED:
+        for r in T.GROUPS[g](s).collect():
+            for k, v in r.asDict().items():
+                got = one[r.series_id][k]
+                assert got == v or got == pytest.approx(v, rel=1e-9, abs=1e-12), (g, k)
+
+
 def test_selection_rules(air):
     with pytest.raises(ValueError):
         T.features(air, ("basic", "nothing"))

@@ -151,9 +151,56 @@ GROUPS = {
 DEFAULT = ("basic", "tiles", "flat_spots", "crossing_points", "gradient", "hurst", "histogram_mode", "level_shift", "acf", "kpss")
 
 
+FUSED = ("basic", "crossing_points", "gradient", "hurst", "level_shift", "acf", "kpss")
+
+
+def fused(series: DataFrame, lag_size: int = 30, window: int = 20, period: int = 7, lag: int = 6) -> DataFrame:
+    """The columns of the FUSED groups from one sort of each series and one aggregation."""
+    e, w = Window.partitionBy(ID), ordered()
+    v = F.col(VALUE)
+    s = _numbered(series).select(ID, TS, v, "i", "n")
+    s = s.select("*", F.lag(VALUE).over(w).alias("pv"), F.lead(VALUE).over(w).alias("nx"), F.avg(VALUE).over(w.rowsBetween(-(window - 1), 0)).alias("rm"), *[(v - F.lag(VALUE, k).over(w)).alias(f"h{k}") for k in range(2, lag_size)])
+    s = s.select(
+        "*", F.avg(VALUE).over(e).alias("m"), F.percentile(VALUE, F.lit(0.5)).over(e).alias("med"), F.regr_intercept(VALUE, "i").over(e).alias("ra"), F.regr_slope(VALUE, "i").over(e).alias("rb"),
+        (v - F.col("pv")).alias("d1"), F.round(F.abs(F.when(F.col("i") >= window, F.col("rm") - F.lag("rm").over(w))), 9).alias("step"),
+    )
+    s = s.withColumn("d2", F.col("d1") - F.lag("d1").over(w)).withColumn("r", v - F.col("ra") - F.col("rb") * F.col("i"))
+    s = s.withColumn("x", v - F.col("m")).withColumn("y", F.col("d1") - F.avg("d1").over(e)).withColumn("z", F.col("d2") - F.avg("d2").over(e))
+    lags = {"x": max(period, lag), "y": lag, "z": lag}
+    s = s.select(
+        "*", F.sum("r").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), (F.col("r") * F.lag("r").over(w)).alias("rr"), *[(F.col(c) * F.lag(c, k).over(w)).alias(f"{c}{k}") for c, n in lags.items() for k in range(1, n + 1)]
+    )
+    pv, nx, med = F.col("pv"), F.col("nx"), F.col("med")
+    g = F.when(pv.isNull(), nx - v).when(nx.isNull(), v - pv).otherwise((nx - pv) / 2)
+    sq = lambda c: F.sum(F.col(c) * F.col(c))
+    rho = lambda c, k: F.try_divide(F.coalesce(F.sum(f"{c}{k}"), F.lit(0.0)), sq(c))
+    five = lambda c: sum((F.pow(rho(c, k), 2) for k in range(2, 6)), F.pow(rho(c, 1), 2))
+    n = F.count("*")
+    enough = lambda c: F.when(n >= 10, c)
+    agg = s.groupBy(ID).agg(
+        n.alias("length"), F.avg(VALUE).alias("mean"), F.var_pop(VALUE).alias("var"), F.regr_r2(VALUE, "i").alias("linearity"), F.avg((v > F.col("m")).cast("double")).alias("binarize_mean"),
+        F.count_if(((v <= med) & (nx > med)) | ((v > med) & (nx <= med))).alias("crossing_points"), F.stddev_pop(g).alias("std1st_der"),
+        F.max_by(F.struct((F.col("i") - window).alias("k"), F.col("step").alias("d")), F.when(F.col("step").isNotNull(), F.struct("step", -F.col("i")))).alias("shift"),
+        enough(rho("x", 1)).alias("y_acf1"), enough(five("x")).alias("y_acf5"), enough(rho("y", 1)).alias("diff1y_acf1"), enough(five("y")).alias("diff1y_acf5"), enough(rho("z", 1)).alias("diff2y_acf1"), enough(five("z")).alias("diff2y_acf5"), enough(rho("x", period)).alias("seas_acf1"),
+        F.try_divide(sq("c") / (n * n), (sq("r") + F.sum("rr")) / n).alias("unitroot_kpss"), F.array(*[F.stddev_pop(f"h{k}") for k in range(2, lag_size)]).alias("sds"),
+    )
+    # slope of log deviation on log lag, over the lags that count
+    pairs = F.filter(F.transform("sds", lambda sd, j: F.struct(F.log((j + 2).cast("double")).alias("x"), F.log(sd).alias("y"), (j + 2).alias("k"))), lambda p: (p["k"] < F.least(F.col("length") - 1, F.lit(lag_size))) & p["y"].isNotNull())
+    agg = agg.withColumn("p", pairs)
+    total = lambda f: F.aggregate("p", F.lit(0.0), lambda a, p: a + f(p))
+    k = F.size("p")
+    hurst_slope = F.try_divide(k * total(lambda p: p["x"] * p["y"]) - total(lambda p: p["x"]) * total(lambda p: p["y"]), k * total(lambda p: p["x"] * p["x"]) - F.pow(total(lambda p: p["x"]), 2))
+    return agg.withColumn("hurst", hurst_slope).withColumn("level_shift_idx", F.col("shift.k").cast("bigint")).withColumn("level_shift_size", F.col("shift.d")).drop("p", "sds", "shift")
+
+
 def features(series: DataFrame, groups=DEFAULT, without=()) -> DataFrame:
-    """One row a series with the chosen groups' columns; shorter series than LEAST_POINTS have none."""
+    """One row a series with the chosen groups' columns; shorter series than LEAST_POINTS have none.
+
+    Groups that need no second grouping share one sort and one aggregation.
+    """
     unknown = set([*groups, *without]) - set(GROUPS)
     if unknown or set(groups) & set(without):
         raise ParameterError(f"unknown or contradictory groups: {sorted(unknown or set(groups) & set(without))}")
-    return reduce(lambda a, b: a.join(b, ID, "left"), [GROUPS[g](series) for g in groups])
+    frames = [fused(series)] if set(FUSED) <= set(groups) else []
+    frames += [GROUPS[g](series) for g in groups if not frames or g not in FUSED]
+    return reduce(lambda a, b: a.join(b, ID, "left"), frames)
