@@ -121,7 +121,7 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> ByteCNN | None:
     About max_docs documents of each language, chosen by a hash of doc_id, and up
     to MAX_TRAIN_WINDOWS windows spread over each whole text.
     """
-    rows = training_rows(docs.where("text is not null"), "lang", max_docs)
+    rows = training_rows(docs, "lang", max_docs)
     langs = sorted({r[1] for r in rows})
     if not langs:
         return None

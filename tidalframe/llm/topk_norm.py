@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ._common import stage
 
 QUERY_BLOCK = 4096  # queries sent to the tasks at once: a bound, not a cap; further blocks follow
-SEED_ROWS = 4096  # longest vectors, from which the first thresholds come
+SEED_ROWS = 1024  # longest vectors, from which the first thresholds come
 BUCKET_ROWS = 512
 COORDINATE_FROM = 0.6  # local cosine threshold from which coordinates prune better than lengths
 FOCUS = 3
@@ -145,6 +145,8 @@ def norm_bucket_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> Data
     n = asked.count()
     length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.floor(x * 256).cast("double") * F.floor(x * 256).cast("double"))
     blocks = max(1, math.ceil(n / QUERY_BLOCK))
+    if blocks > 1:
+        asked = stage(asked, "queries")
     seeds = pool.orderBy(length.desc(), "vec_id").limit(SEED_ROWS).toArrow() if n else None
     results = []
     for block in range(blocks):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sampled
+from ._common import MAX_TRAIN_CHARS, sampled
 
 MAX_TRAIN_DOCS = 4_000  # labelled documents a class that are learnt from, in expectation
 STEMS = tuple(range(3, 11))  # lengths of word beginnings that may stand for their words
@@ -147,10 +147,10 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) ->
     """Learns weights and curve from labelled rows whose crc32(doc_id as text) mod 4 is not 2.
 
     About max_docs documents of either class, chosen by a hash of doc_id; whole
-    texts. A word, or a beginning that several words share, becomes a pattern if
-    LEAST_DOCS toxic documents hold it and its log odds over the base rate,
-    smoothed by PRIOR_DOCS documents of that rate, reach LEAST_WEIGHT
-    and LEAST_SHARE of the heaviest. doc_id serves for choosing rows only.
+    texts, of MAX_TRAIN_CHARS characters at most. A word, or a beginning that
+    several words share, becomes a pattern if LEAST_DOCS toxic documents hold it
+    and its log odds over the base rate, smoothed by PRIOR_DOCS documents of that
+    rate, reach LEAST_WEIGHT and LEAST_SHARE of the heaviest. doc_id serves for choosing rows only.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(F.expr("crc32(cast(doc_id as string)) % 4 <> 2")).select("doc_id", F.expr("cast(toxic = 1 as int)").alias("toxic"))
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) ->
     picked = {r[0]: r[1] for r in known.where(sampled(counts, "toxic", max_docs)).collect()}
     spark = docs.sparkSession
     ids = spark.createDataFrame(list(picked.items()), "id bigint, toxic int")  # bounded by the sample
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= MAX_TRAIN_CHARS)
     rows = sorted(map(tuple, texts.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("text", "toxic").collect()))
     held = [r for i, r in enumerate(rows) if i % 3 == 2] if len(rows) >= 60 else rows  # a third fits the curve, on words not learnt from it
     rows = [r for i, r in enumerate(rows) if i % 3 != 2] if len(rows) >= 60 else rows
