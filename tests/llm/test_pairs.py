@@ -117,3 +117,52 @@ def test_runs_across_batches():
             got += [v[a:b].tolist() for a, b in zip(starts, [*starts[1:], len(v)])]
         assert got == [code[key == k].tolist() for k in np.unique(key)]
     assert list(runs(iter([]), "key", "code")) == []
+
+
+def test_a_key_above_the_limit_is_searched_by_longer_keys(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    codes = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)) for _ in range(3))])).view(np.int64)
+    keyed = spark.createDataFrame([(k, int(c)) for c in codes for k in (1, 2)] + [(3, 5), (3, 4), (9, 77)], "key bigint, code bigint")
+    parts = lambda links: {(r.node, r.root) for r in components(links).collect()}
+    whole = parts(near_codes(keyed, 3))
+    assert whole == parts(near_codes(keyed, 3, limit=20)) and len(whole) > 200 and (5, 4) in whole
+
+
+def test_runs_above_the_limit():
+    rng = np.random.default_rng(0)
+    key = np.sort(rng.integers(0, 6, 500))
+    code = rng.integers(0, 10**6, 500)
+    for size in (1, 7, 40, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(code[i : i + size])], ["key", "code"]) for i in range(0, 500, size)]
+        seen = []
+        for v, starts in runs(iter(batches), "key", "code", 30):
+            assert v.size <= 30 + 2 * size or starts is not None
+            seen += v.tolist()
+        assert sorted(seen) == sorted(code.tolist())
+
+
+def test_dropping_keeps_one_row_of_each_component(spark):
+    """Repeated ids with different texts, rows without an id, clashing names, in any order of the rows."""
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a, 0, 0), (1, b, 0, 0), (2, b, 0, 0), (2, b, 0, 0), (None, a, 0, 0), (None, "its own text of five words", 0, 0), (None, "its own text of five words", 1, 0), (4, None, 0, 0), (5, "", 0, 0), (6, "A quite other text here now", 0, 0), (6, "A quite other text here now", 0, 0), (7, "word " * 40_000, 0, 0)]
+    schema = "doc_id bigint, text string, kept_id int, row int"
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, schema).repartition(3)
+        out = G.drop_near_duplicates(docs)
+        assert out.columns == docs.columns
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        assert got == sorted([(1, a), (1, b), (None, "its own text of five words"), (4, None), (6, "A quite other text here now"), (7, "word " * 40_000)], key=str)
+    # one row a component, whatever the rows: against brute force
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2, 3, 4]), rng.choice([a, b, "x y z w v u", None]) if rng.random() < 0.7 else " ".join(rng.choice("abcdefgh") for _ in range(12)), rng.randint(0, 1), 0) for _ in range(80)]
+    got = [(r.doc_id, r.text) for r in G.drop_near_duplicates(spark.createDataFrame(rows, schema)).collect()]
+    codes = [slow_fingerprint(r[1]) for r in rows]
+    roots = brute_components(codes, 3)
+    of = dict(zip(codes, roots))
+    assert sorted(of[slow_fingerprint(t)] for _, t in got) == sorted(set(roots))
+    for d, t in got:
+        ids = [r[0] for r, k in zip(rows, roots) if k == of[slow_fingerprint(t)] and r[0] is not None]
+        assert d == (min(ids) if ids else None) and (d, t) in {(r[0], r[1]) for r in rows}
+    assert G.drop_near_duplicates(spark.createDataFrame([], schema)).count() == 0

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, a local one if Spark is local too, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "tidalframe-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -58,7 +61,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps, each a partial aggregation and an
     equi-join, until the edges are stars. Edges never reach the driver; each
-    round is a written table, so lost executors repeat one round only.
+    round is a written table, so lost executors repeat one round only. unstage()
+    deletes the last one when the result has been read.
     """
     now = stage(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for _ in range(most_rounds):
@@ -76,7 +80,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         unstage(now)
         now = after
         if a == b:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+            out._stage_path = now._stage_path
+            return out
     raise RuntimeError("components did not converge")
 
 
@@ -101,9 +107,30 @@ def forest(codes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int]]:
             yield np.concatenate(got), root
 
 
-def runs(batches: Iterable[pa.RecordBatch], key: str, value: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(values, run starts) of the keys that hold two or more values; input sorted by key; a run may cross batches."""
-    key_now, held = None, []  # the last key so far and its values, which may go on in the next batch
+def masks(blocks: int, most: int) -> np.ndarray:
+    """Of 64 bits in equal blocks, each choice of blocks - most: ``most`` differing bits leave one choice equal."""
+    cut = [64 * i // blocks for i in range(blocks + 1)]
+    bits = [((1 << (b - a)) - 1) << a for a, b in zip(cut, cut[1:])]
+    return np.array([sum(c) for c in combinations(bits, blocks - most)], dtype=np.uint64)
+
+
+def pigeonhole_keys(codes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, code): a hash of each choice of bits. With masks(), codes at ``most`` or fewer differing bits share one at least."""
+    c = codes.view(np.uint64)
+    key = (c[:, None] & chosen) + np.arange(len(chosen), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    key ^= key >> np.uint64(29)
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    key ^= key >> np.uint64(32)
+    return key.ravel().view(np.int64), np.repeat(codes, len(chosen))
+
+
+def runs(batches: Iterable[pa.RecordBatch], key: str, value: str, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """(values, run starts) of the keys that hold two or more values; input sorted by key; a run may cross batches.
+
+    The values of a key above ``limit`` come as (values, None), a stretch at a
+    time, so that no more than about that many are held.
+    """
+    key_now, held, over = None, [], False  # the last key so far and its values, which may go on in the next batch
     for b in batches:
         if not b.num_rows:
             continue
@@ -111,48 +138,87 @@ def runs(batches: Iterable[pa.RecordBatch], key: str, value: str) -> Iterator[tu
         v = b.column(value).to_numpy(zero_copy_only=False)
         if held and k[0] == k[-1] == key_now:
             held.append(v)
-            continue
-        if held:
-            old = np.concatenate(held)
-            k, v = np.concatenate([np.full(old.size, key_now), k]), np.concatenate([old, v])
-        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        last = starts[-1]
-        key_now, held = k[last], [v[last:]]
-        if last:
-            yield v[:last], starts[:-1]
+        else:
+            if held:
+                if over:
+                    n = int(np.searchsorted(k, key_now, side="right"))
+                    yield np.concatenate([*held, v[:n]]), None
+                    k, v, over = k[n:], v[n:], False
+                else:
+                    old = np.concatenate(held)
+                    k, v = np.concatenate([np.full(old.size, key_now), k]), np.concatenate([old, v])
+            starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            last = starts[-1]
+            key_now, held = k[last], [v[last:]]
+            if last:
+                yield v[:last], starts[:-1]
+        if limit is not None and sum(x.size for x in held) > limit:
+            yield np.concatenate(held), None
+            held, over = [np.empty(0, np.int64)], True
     if held:
-        yield np.concatenate(held), np.zeros(1, dtype=np.int64)
+        yield np.concatenate(held), None if over else np.zeros(1, dtype=np.int64)
 
 
-def near_codes(keyed: DataFrame, most: int) -> DataFrame:
+DENSE_KEY = 1 << 17  # codes of one key that a task compares at once
+
+
+def near_codes(keyed: DataFrame, most: int, limit: int | None = None) -> DataFrame:
     """(u, v) bigint: for each key the spanning stars of its codes at ``most`` or fewer differing bits.
 
     keyed: (key bigint, code bigint). Codes that share no key are not compared.
-    One shuffle; each task streams sorted keys and holds one key's codes at a time.
+    One shuffle; each task streams sorted keys. A key above ``limit`` codes
+    (DENSE_KEY) is not searched by its task: its codes are given longer keys, all
+    choices of 9 - most of 9 blocks, which find every pair at ``most`` bits, and
+    meet in a second pass over many tasks. The result is a written table.
     """
-
-    def match(batches):
-        for v, starts in runs(batches, "key", "code"):
-            us, vs = [], []
-            codes = v.view(np.uint64)
-            ends = np.append(starts[1:], codes.size)
-            size = ends - starts
-            pair = starts[size == 2]  # most keys with company have two codes
-            a, b = codes[pair], codes[pair + 1] if pair.size else codes[pair]
-            ok = (np.bitwise_count(a ^ b) <= most) & (a != b)
-            us.append(a[ok])
-            vs.append(b[ok])
-            for s, e in zip(starts[size > 2], ends[size > 2]):
-                for got, root in forest(np.unique(codes[s:e]), most):
-                    us.append(got)
-                    vs.append(np.full(got.size, root))
-            u, w = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
-            if u.size:
-                both = np.unique(np.stack([u, w], 1), axis=0)
+    limit = DENSE_KEY if limit is None else limit
+
+    def matching(most_codes):
+        def match(batches):
+            for v, starts in runs(batches, "key", "code", most_codes):
+                codes = v.view(np.uint64)
+                us, vs, none = [], [], None
+                if starts is None:
+                    u = np.unique(v)
+                    none = np.ones(u.size, bool)
+                    both = np.stack([u, u], 1)
+                else:
+                    ends = np.append(starts[1:], codes.size)
+                    size = ends - starts
+                    pair = starts[size == 2]  # most keys with company have two codes
+                    a, b = codes[pair], codes[pair + 1] if pair.size else codes[pair]
+                    ok = (np.bitwise_count(a ^ b) <= most) & (a != b)
+                    us.append(a[ok])
+                    vs.append(b[ok])
+                    for s, e in zip(starts[size > 2], ends[size > 2]):
+                        for got, root in forest(np.unique(codes[s:e]), most):
+                            us.append(got)
+                            vs.append(np.full(got.size, root))
+                    both = np.stack([np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)], 1)
+                    both = np.unique(both, axis=0) if len(both) else both
                 for at in range(0, len(both), 65536):
-                    yield pa.RecordBatch.from_arrays([pa.array(both[at : at + 65536, 0]), pa.array(both[at : at + 65536, 1])], ["u", "v"])
+                    part = both[at : at + 65536]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1], mask=None if none is None else none[at : at + 65536])], ["u", "v"])
+
+        return match
+
+    def meet(rows, most_codes):
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(matching(most_codes), "u bigint, v bigint").distinct()
+
+    found = stage(meet(keyed, limit), "links")
+    links = found.where("v is not null")
+    if found.where("v is null").isEmpty():
+        return links
+    chosen = masks(9, most)
+
+    def longer(batches):
+        for b in batches:
+            codes = b.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(codes), 2048):
+                k, c = pigeonhole_keys(codes[at : at + 2048], chosen)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "code"])
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(match, "u bigint, v bigint").distinct()
+    return links.union(meet(found.where("v is null").select("u").mapInArrow(longer, "key bigint, code bigint"), None))
 
 
 def training_rows(docs: DataFrame, label: str, most: int) -> list[tuple]:

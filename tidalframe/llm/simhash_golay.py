@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, near_codes, stage
+from ._common import components, near_codes, stage, unstage
 
 SEGMENTS = (22, 21, 21)
 MOST_BITS = 3
@@ -111,28 +111,20 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts * 2 > n).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp bigint) of every row."""
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, carried bigint columns, fp bigint) of every row."""
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t) for t in b.column(1).to_pylist()), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t) for t in b.column(0).to_pylist()), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64))], ["doc_id", *carried, "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), *carried)
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("doc_id", *carried, "fp")))
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs (doc_id, text).
-
-    Documents link at 3 or fewer differing fingerprint bits; component_id is the
-    smallest doc_id reachable. Equal fingerprints are one node, so a group of
-    exact copies costs one row in the join. Null or empty text: fingerprint
-    zero, linked like any other. Null doc_id: the row keeps its component, but
-    never names it (component_id is null if no row of it has an id). Repeated
-    rows: each gets its row. Extra columns are ignored. Empty table: no rows.
-    """
-    fps = stage(fingerprints(docs), "fingerprints")
+def _roots(fps: DataFrame) -> DataFrame:
+    """(fp, least, root): each distinct fingerprint, its smallest doc_id and the fingerprint that stands for its component."""
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
 
     def expand(batches):
@@ -144,22 +136,53 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
     links = near_codes(nodes.select("fp").mapInArrow(expand, "key bigint, code bigint"), MOST_BITS)
     roots = components(links)
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = stage(named, "named")
+    named = stage(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+    unstage(nodes)
+    unstage(roots)
+    return named
+
+
+def simhash_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs (doc_id, text).
+
+    Documents link at 3 or fewer differing fingerprint bits; component_id is the
+    smallest doc_id reachable. Equal fingerprints are one node, so a group of
+    exact copies costs one row in the join. Null or empty text: fingerprint
+    zero, linked like any other. Null doc_id: the row keeps its component, but
+    never names it (component_id is null if no row of it has an id). Repeated
+    rows: each gets its row. Extra columns are ignored. Empty table: no rows.
+    """
+    fps = stage(fingerprints(docs), "fingerprints")
+    named = _roots(fps)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.select("fp", "root").join(ids, "root").select(F.col("fp").alias("node_fp"), "component_id")
     return fps.join(labels, fps["fp"] == labels["node_fp"]).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document, that of the smallest doc_id, of each component; columns unchanged.
-
-    Rows that repeat a kept doc_id go too; rows without a doc_id stay, as nothing
-    tells them apart.
+    """docs with one row of each component of simhash_components; columns unchanged.
+
+    The row that stays is chosen by the row itself: smallest doc_id (rows without
+    an id come last), then the hashes of its text and of all its columns. So one
+    doc_id with different texts is two documents, and only the component decides
+    what goes. Rows equal in doc_id, text and all columns (map columns apart)
+    repeat one document: one of them stays. Null and empty texts are one
+    component, of which one row stays. Very long texts are hashed whole. Column
+    names are free: rows travel as one struct. Empty table: no rows.
     """
-    kept = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    have = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return have.unionByName(docs.where("doc_id is null"))
+    names = docs.columns
+    hashed = [F.col(f"`{n}`") for n, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    whole = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(*hashed).alias("row_hash")).withColumn("text_hash", F.xxhash64("text"))
+    fps = stage(fingerprints(whole, "text_hash", "row_hash"), "fingerprints")
+    named = _roots(fps)
+    best = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_hash")).alias("least"))
+    best = best.join(named.select(F.col("fp").alias("node"), "root"), F.col("fp") == F.col("node")).groupBy("root").agg(F.min("least").alias("least"))
+    some_id = lambda c: F.coalesce(c, F.lit(-(2**63)))
+    kept = stage(best.select(some_id(F.col("least.doc_id")).alias("k0"), F.col("least.text_hash").alias("k1"), F.col("least.row_hash").alias("k2")), "kept")
+    unstage(fps)
+    unstage(named)
+    own = whole.select("row", some_id(F.col("doc_id")).alias("k0"), F.col("text_hash").alias("k1"), F.col("row_hash").alias("k2"))
+    return own.join(kept, ["k0", "k1", "k2"], "left_semi").dropDuplicates(["k0", "k1", "k2"]).select("row.*")
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
