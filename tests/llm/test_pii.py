@@ -1,7 +1,9 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from tidalframe.llm import bilstm_crf as P
 
@@ -38,39 +40,106 @@ def test_base_patterns_against_the_definition():
         assert P.base_spans(t) == slow_base(t) if len(t) < 1000 else P.base_spans(t) == []
 
 
-def tiny_net():
-    words = ["stand", "ofthe", "lorem", "ipsum", "token"]
-    rng = np.random.default_rng(0)
-    texts = [" ".join(rng.choice(words, 60)) + f" mail me x{i}@host.org or +1 (918) 555-{1000 + i} today" for i in range(60)]
-    net = P.BiLstmCrf()
-    ids, tags = P.training_windows(texts, np.random.default_rng(1))
-    net.fit(ids[:-400], tags[:-400], steps=150)
-    return net, ids[-400:], tags[-400:]
-
-
-def test_network(spark):
-    net, ids, tags = tiny_net()
-    found = net.decode(ids)
-    assert (found == tags).mean() > 0.97 and (found[tags > 0] == tags[tags > 0]).mean() > 0.85  # held-out windows
-    # the shortcut over quiet windows gives the same tags as the search
-    em = net.emissions(ids)
-    t = net.p["t"]
-    for w in range(0, 400, 13):
-        score, back = em[0, :, w].copy(), []
-        for i in range(1, len(em)):
-            step = score[:, None] + t
-            back.append(step.argmax(0))
-            score = step.max(0) + em[i, :, w]
-        path = [int(score.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        assert path[::-1] == found[w].tolist()
-    # windows reconciled over a long text: same spans wherever they lie
-    plain = "lorem ipsum stand " * 60
-    for at in (0, 200, 223, 224, 240, 255, 256, 700):
-        text = plain[:at] + " +1 (918) 555-2370 " + plain
-        spans = P.all_spans(text, P.tag_texts(net, [text])[0], P.base_spans(text))
-        assert (text.index("+1"), 3, text.index("2370") + 4) in spans
+@pytest.fixture(scope="module")
+def net(spark):
+    """Trained on documents of sf0.01 with even ids."""
+    return P.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 2 = 0"))
+
+
+@pytest.fixture(scope="module")
+def held(spark):
+    return [r.text[:2500] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 10 = 3 and length(text) > 200").orderBy("doc_id").collect()]
+
+
+def slow_tags(net, text):
+    """One window decoder a window, emissions averaged place by place, one Viterbi over the whole text."""
+    step = P.WINDOW - P.OVERLAP
+    n = max(1, -(-(len(text) - P.OVERLAP) // step))
+    sums, weights = np.zeros((len(text), 5)), np.zeros(len(text))
+    for k in range(n):
+        ids = np.full((1, P.WINDOW), 129, np.uint8)
+        part = P.classes(text)[k * step : k * step + P.WINDOW]
+        ids[0, : part.size] = part
+        em = net.emissions(ids)[:, :, 0]
+        for i in range(part.size):
+            w = 1.0
+            if k and i < P.OVERLAP:
+                w = (i + 1) / (P.OVERLAP + 1)
+            if k < n - 1 and i >= step:
+                w = (P.WINDOW - i) / (P.OVERLAP + 1)
+            sums[k * step + i] += w * em[i]
+            weights[k * step + i] += w
+    em, t = sums / weights[:, None], net.p["t"].astype(float)
+    score, back = em[0].copy(), []
+    for row in em[1:]:
+        both = score[:, None] + t
+        back.append(both.argmax(0))
+        score = both.max(0) + row
+    path = [int(score.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def test_tags_are_the_best_path_of_the_whole_text(net, held):
+    rng = np.random.default_rng(5)
+    texts = ["", "7", "1" * 900, "call 0049 30 1234567", "a@b.co " * 200] + [t[: int(rng.integers(1, 1800))] for t in held[:12]]
+    texts += [t[:400] + " " + P.written(rng, k % 4) + " " + t[400:1300] for k, t in enumerate(held[:12])]
+    for batch in (P.BATCH, 2):  # overlaps within a batch of windows and across two
+        was, P.BATCH = P.BATCH, batch
+        got = P.tag_texts(net, texts)
+        P.BATCH = was
+        for t, g in zip(texts, got):
+            assert len(g) == len(t) and (not t or g.tolist() == slow_tags(net, t)), t
+    assert P.tag_texts(net, []) == []
+
+
+def test_spans_at_every_seam(net, held):
+    """Data that only the network finds, wherever it lies about the borders of windows."""
+    step = P.WINDOW - P.OVERLAP
+    rng = np.random.default_rng(6)
+    plain = " ".join(t for t in held[:8] if not P.base_spans(t))
+    for kind, form in ((0, AT_DOT), (1, "[.]"), (2, "_"), (3, "(ddd) ddd-dddd")):
+        data = P.written(rng, kind, form)
+        hits = places = 0
+        for at in [*range(step - 50, step + P.OVERLAP + 10, 3), *range(2 * step - 40, 2 * step + P.OVERLAP, 9)]:
+            g = plain.rindex(" ", 0, at)
+            text = plain[:g] + " " + data + " " + plain[g:]
+            assert not P.base_spans(text)
+            places += 1
+            hits += (g + 1, kind, g + 1 + len(data)) in P.all_spans(text, P.tag_texts(net, [text])[0], [])
+        assert hits >= 0.9 * places, (kind, hits, places)
+
+
+AT_DOT = (" [at] ", " [dot] ")
+UNSEEN = [(0, ("<at>", "<dot>")), (0, (" (at) ", ".")), (1, "{.}"), (1, "(dot)"), (1, " (.) "), (2, " / "), (3, "(0dd) dddd dddd"), (3, "+nd ddd dddd ddd"), (3, "0dd dddddddd")]
+
+
+def test_recall_and_precision_by_kind(net, held):
+    """Data planted in documents that the network hasn't seen, in forms it was trained on and in others."""
+    rng = np.random.default_rng(7)
+    added = wrong = 0
+    for unseen in (False, True):
+        hits, planted = Counter(), Counter()
+        forms = UNSEEN if unseen else [(k, f) for k, fs in enumerate((P.AT_DOT, P.IP_SEPARATORS, P.CARD_SEPARATORS, P.PHONES)) for f in fs]
+        for kind, form in forms:
+            for t in rng.choice(held, 25, replace=False):
+                gaps = [i for i, c in enumerate(t) if c == " "]
+                g, data = int(rng.choice(gaps)), P.written(rng, kind, form)
+                text = t[:g] + " " + data + t[g:]
+                base = P.base_spans(text)
+                found = P.all_spans(text, P.tag_texts(net, [text])[0], base)
+                assert set(base) <= set(found)
+                ours = [s for s in found if s[0] < g + 1 + len(data) and s[2] > g + 1]
+                planted[kind] += 1
+                hits[kind] += any(k == kind and min(b, g + 1 + len(data)) - max(a, g + 1) >= 0.7 * len(data) for a, k, b in ours)
+                added += len(found) - len(base)
+                wrong += len([s for s in found if s not in base and s not in ours])
+        assert all(hits[k] >= 0.9 * planted[k] for k in range(4)), (unseen, hits, planted)
+    assert wrong < 0.1 * added
+
+
+def test_spans_of_a_table(spark, net):
     docs = spark.createDataFrame([(1, None, 0), (1, None, 0), (2, "", 0), (None, "é a@b.co", 0), (3, "x" * 50_000 + " 1.2.3.4", 0)], "doc_id bigint, text string, spans int")
     got = {(r.doc_id, tuple((s.kind, s.start, s.end) for s in r.base)) for r in P.find_personal_data(docs, net).collect()}
     assert got == {(1, ()), (2, ()), (None, (("email", 2, 8),)), (3, (("ip", 50_001, 50_008),))}

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, OVERLAP = 256, 32  # characters
-BATCH = 1024  # windows
-HIDDEN = 6  # of each direction
-TRAIN_DOCS = 400  # documents that training windows come from, in expectation
-TRAIN_WINDOWS = 6_000
+WINDOW, OVERLAP = 512, 64  # characters
+BATCH = 640  # windows
+HIDDEN = 8  # of each direction
+TRAIN_DOCS = 400  # documents that training pieces come from, in expectation
+TRAIN_PIECES = 8  # at most of each: of known spans, of other digits, of any text
+TRAIN_WINDOWS = 12_000
 TRAIN_LENGTH = 96
-STEPS = 320
-LEAST_SPAN = 7
+STEPS = 640
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -72,7 +72,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _CLASS = np.full(129, 128, np.uint8)
 _CLASS[:128] = np.arange(128)
 _CLASS[65:91] = np.arange(97, 123)  # letters without case
-_CLASS[48:58] = 48  # digits as one
+_CLASS[49:58] = 49  # digits but 0 as one: 0 and 00 lead phone numbers
+_CLASS[[ord(c) for c in "[{<"]] = ord("(")  # brackets as round ones
+_CLASS[[ord(c) for c in "]}>"]] = ord(")")
 
 
 def classes(text: str) -> np.ndarray:
@@ -134,27 +136,39 @@ class BiLstmCrf:
                 out[t] += e
         return out
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """(windows, length) best tags. A window where no tag can gain on all-none, whatever its transitions, needs no search."""
-        em = self.emissions(ids)
-        t = self.p["t"]
-        gain = 2 * max(0.0, float(t.max() - t[0, 0]))
-        tags = np.zeros(ids.shape, np.uint8)
-        open_ = np.flatnonzero((em[:, 1:].max(1) + gain > em[:, 0]).any(0))
-        if open_.size:
-            em = em[:, :, open_]
-            score, back = em[0].copy(), np.empty(em.shape, np.uint8)
-            for i in range(1, len(em)):
-                step = score[:, None, :] + t[:, :, None]
-                back[i] = step.argmax(0)
-                score = step.max(0) + em[i]
-            last = score.argmax(0)
-            cols = np.arange(open_.size)
-            for i in range(len(em) - 1, -1, -1):
-                tags[open_, i] = last
+    def gains(self) -> np.ndarray:
+        """For each tag but none: the most that the two transitions at one place can add over those of none."""
+        t = self.p["t"].astype(np.float64)
+        return np.array([(t[:, k] - t[:, 0]).max() + (t[k] - t[0]).max() for k in range(1, len(t))])
+
+    def search(self, em: np.ndarray, lengths: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Best tags of stretches of places between places tagged none; stretches one after another in em (places, tags).
+
+        first, last: whether a stretch begins or ends its text, where no transition leads in or out.
+        """
+        t = self.p["t"].astype(np.float64)
+        order = np.argsort(-lengths, kind="stable")
+        size, start = lengths[order], (np.cumsum(lengths) - lengths)[order]
+        out = np.zeros(len(em), np.uint8)
+        at = 0
+        while at < len(order):  # stretches of similar lengths together, about a million cells at once
+            n = int(max(1, min(len(order) - at, 1_000_000 // size[at])))
+            top, st, sz = int(size[at]), start[at : at + n], size[at : at + n]
+            back = np.zeros((top, n, len(t)), np.uint8)
+            score = em[st] + np.where(first[order[at : at + n]], 0.0, 1.0)[:, None] * t[0]
+            for i in range(1, top):
+                k = int(np.searchsorted(-sz, -i))  # stretches with a place i
+                step = score[:k, :, None] + t
+                back[i, :k] = step.argmax(1)
+                score[:k] = step.max(1) + em[st[:k] + i]
+            tag = (score + np.where(last[order[at : at + n]], 0.0, 1.0)[:, None] * t[:, 0]).argmax(1)
+            for i in range(top - 1, -1, -1):
+                k = int(np.searchsorted(-sz, -i))
+                out[st[:k] + i] = tag[:k]
                 if i:
-                    last = back[i][last, cols]
-        return tags
+                    tag[:k] = back[i, np.arange(k), tag[:k]]
+            at += n
+        return out
 
     def loss_gradient(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of the tag sequences, and its gradient."""
@@ -232,111 +246,190 @@ class BiLstmCrf:
         return loss
 
 
-def tag_texts(net: BiLstmCrf, texts: list[str]) -> list[np.ndarray]:
-    """Tags of every character of whole texts: windows overlap, each character's tag comes from the window where it lies farther from the edge."""
+_UP = ((np.arange(OVERLAP) + 1) / (OVERLAP + 1)).astype(np.float32)[:, None, None]
+
+
+def reconciled(net: BiLstmCrf, texts: list[str]):
+    """Yields (places, emissions) of stretches of the texts laid end to end, all places in order.
+
+    Windows overlap; in an overlap the emissions of both are averaged, each
+    weighing more the farther its place lies from its edge.
+    """
     step = WINDOW - OVERLAP
     counts = [max(1, -(-(len(t) - OVERLAP) // step)) if t else 0 for t in texts]
-    ids = np.full((sum(counts), WINDOW), 129, np.uint8)
-    row = 0
-    for t, n in zip(texts, counts):
-        c = classes(t)
-        for k in range(n):
-            part = c[k * step : k * step + WINDOW]
-            ids[row, : part.size] = part
-            row += 1
-    tags = np.empty(ids.shape, np.uint8)
-    for at in range(0, len(ids), BATCH):
-        tags[at : at + BATCH] = net.decode(ids[at : at + BATCH])
-    out, row = [], 0
-    for t, n in zip(texts, counts):
-        whole = np.zeros(len(t), np.uint8)
-        for k in range(n):
-            a = k * step + (OVERLAP // 2 if k else 0)
-            b = min(len(t), k * step + WINDOW - (OVERLAP // 2 if k < n - 1 else 0))
-            whole[a:b] = tags[row, a - k * step : b - k * step]
-            row += 1
-        out.append(whole)
-    return out
+    offset = np.cumsum([0, *map(len, texts)])
+    of = np.repeat(np.arange(len(texts)), counts)
+    number = np.concatenate([np.arange(n) for n in counts]) if len(of) else of
+    more = number < np.repeat(counts, counts) - 1  # another window of the text follows
+    coded, held = (-1, None), None
+    for at in range(0, len(of), BATCH):
+        stop = min(at + BATCH, len(of))
+        ids = np.full((stop - at, WINDOW), 129, np.uint8)
+        for r in range(at, stop):
+            if coded[0] != of[r]:
+                coded = of[r], classes(texts[of[r]])
+            part = coded[1][number[r] * step : number[r] * step + WINDOW]
+            ids[r - at, : part.size] = part
+        em = net.emissions(ids)
+        joins, goes = np.flatnonzero(number[at:stop] > 0), np.flatnonzero(more[at:stop])
+        em[:OVERLAP, :, joins] *= _UP
+        em[-OVERLAP:, :, goes] *= _UP[::-1]
+        if held is not None:
+            em[:OVERLAP, :, 0] += held
+        inner = joins[joins > 0]
+        em[:OVERLAP, :, inner] += em[-OVERLAP:, :, inner - 1]
+        held = em[-OVERLAP:, :, -1].copy() if more[stop - 1] else None
+        begin = offset[of[at:stop]] + number[at:stop] * step
+        own = np.where(more[at:stop], step, offset[of[at:stop] + 1] - begin)
+        row = np.repeat(np.arange(stop - at), own)
+        col = np.arange(row.size) - np.repeat(np.cumsum(own) - own, own)
+        yield begin[row] + col, em[col, :, row]
 
 
-_AT = re.compile(r"@|\bat\b", re.I)
+def tag_texts(net: BiLstmCrf, texts: list[str]) -> list[np.ndarray]:
+    """Tags of every character of whole texts: the best path of each text as a whole, over the reconciled emissions of its windows.
+
+    A place where none beats each tag by more than the transitions about it can
+    add is none on the best path, whatever lies beside it. So the search runs
+    over the stretches between such places only, and is that of the whole text.
+    """
+    offset = np.cumsum([0, *map(len, texts)])
+    tags = np.zeros(offset[-1], np.uint8)
+    gain = net.gains() + 1e-3
+    places, kept = [np.empty(0, np.int64)], [np.empty((0, len(KINDS) + 1))]
+    for at, em in reconciled(net, texts):
+        open_ = (em[:, 1:] + gain > em[:, :1]).any(1)
+        places.append(at[open_])
+        kept.append(em[open_].astype(np.float64))
+    places, kept = np.concatenate(places), np.concatenate(kept)
+    if places.size:
+        ends = np.zeros(offset[-1] + 1, bool)
+        ends[offset] = True  # where a text starts, and the last one ends
+        cut = np.concatenate([[True], (np.diff(places) > 1) | ends[places[1:]]])
+        begin = np.flatnonzero(cut)
+        lengths = np.diff(np.append(begin, places.size))
+        tags[places] = net.search(kept, lengths, ends[places[begin]], ends[places[begin + lengths - 1] + 1])
+    return [tags[a:b] for a, b in zip(offset, offset[1:])]
+
+
+_AT = r"(?:@|\bat\b|_at_)"
+_DOT = r"(?:\.|\bdot\b|_dot_)"
+_EMAIL = re.compile(rf"\w.*{_AT}.*\w.*{_DOT}.*\w", re.I | re.S)
 _LETTERS = re.compile(r"[^\W\d_]")
 
 
 def plausible(kind: int, span: str) -> bool:
-    """Whether a tagged run can be of its kind: an email names its @, the others hold no letters and as many digits as their kind has."""
+    """Whether a tagged run can be of its kind: an email names its @ and a dot after it, an address has four parts of at most 255, the others hold no letters and as many digits as their kind has."""
     digits = "".join(_DIGIT.findall(span))
     if kind == 0:
-        return bool(_AT.search(span)) and len(span) <= 120
+        return _EMAIL.search(span) is not None
+    if kind == 1:
+        parts = re.findall("[0-9]+", span)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not _LETTERS.search(re.sub(r"\bdot\b", "", span, flags=re.I))
     if _LETTERS.search(span):
         return False
-    return (4 <= len(digits) <= 12, 12 <= len(digits) <= 19 and luhn(digits), 7 <= len(digits) <= 15)[kind - 1]
+    return 12 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 7 <= len(digits) <= 15
 
 
 def all_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Base spans and the plausible runs of one tag that overlap none of them, trimmed of white space, LEAST_SPAN characters or more."""
+    """Base spans and the plausible runs of one tag that overlap none of them; a run's ends move out to the ends of the words they lie in, then past white space and closing marks."""
     out = list(base)
     hot = np.flatnonzero(tags)
     if hot.size:
         cut = np.flatnonzero((np.diff(hot) > 1) | (np.diff(tags[hot].astype(int)) != 0)) + 1
+        near, taken = 0, 0  # base spans end before the run; where the last added span ended
         for run in np.split(hot, cut):
             a, b = int(run[0]), int(run[-1]) + 1
-            s = text[a:b]
-            a, b = a + len(s) - len(s.lstrip()), b - (len(s) - len(s.rstrip()))
-            if b - a >= LEAST_SPAN and plausible(int(tags[run[0]]) - 1, text[a:b]) and not any(a < e and x < b for x, _, e in base):
-                out.append((a, int(tags[run[0]]) - 1, b))
+            while a > taken and text[a].isalnum() and text[a - 1].isalnum():
+                a -= 1
+            while b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
+                b += 1
+            while a < b and not (text[a].isalnum() or text[a] in "(+"):
+                a += 1
+            while a < b and not text[b - 1].isalnum():
+                b -= 1
+            while near < len(base) and base[near][0] < a and base[near][2] <= a:
+                near += 1
+            kind = int(tags[run[0]]) - 1
+            if a < b and a >= taken and plausible(kind, text[a:b]) and not any(a < e and x < b for x, _, e in base[near:]):
+                out.append((a, kind, b))
+                taken = b
     return sorted(out)
 
 
-def training_windows(texts: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of documents with their base spans as labels, and written-out or oddly punctuated data put between words."""
-    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+# ---- training ----------------------------------------------------------------
+
+#: Ways of writing @ and dot (the two at one place go together), of parting the numbers of an address, and of parting the groups of a card.
+AT_DOT = [("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" @ ", " . "), (" at ", "."), ("{at}", "{dot}"), (" @ ", " dot ")]
+IP_SEPARATORS = [".", " . ", "[.]", "(.)", " dot ", "[dot]", " [.] "]
+CARD_SEPARATORS = ["", " ", "-", ".", "_", " - ", "/", " . "]
+#: Phone numbers: d stands for a digit, n for one from 1 to 9.
+PHONES = ["+d (ddd) ddd-dddd", "(ddd) ddd-dddd", "ddd-ddd-dddd", "ddd.ddd.dddd", "ndd ddd dddd", "00nd ddd ddddddd", "00nd dd dddddddd", "00nd (0)dd dddddddd", "0ddd/dddddd", "0ddd dddddd", "d-ddd-ddd-dddd", "(ddd)ddd-dddd", "00ndddddddddd", "0dd-dddd-dddd"]
+#: Numbers that are nobody's data.
+OTHERS = ["20dd-0n-0d", "0d:dd:dd", "d.d.d", "dddd", "ddd,ddd.dd", "n.ddd", "dddddddddddddddddd", "$dd.dd", "page ddd", "dd/dd/20dd", "v0.dd.d", "dd%"]
+
+
+def _filled(rng: np.random.Generator, form: str) -> str:
+    return "".join(str(rng.integers(0, 10)) if c == "d" else str(rng.integers(1, 10)) if c == "n" else c for c in form)
+
+
+def card_number(rng: np.random.Generator, separator: str) -> str:
+    body = str(rng.choice(["4", "5", "6"])) + _filled(rng, "d" * 14)
+    body += next(c for c in "0123456789" if luhn(body + c))
+    return separator.join(body[i : i + 4] for i in range(0, 16, 4))
+
+
+def written(rng: np.random.Generator, kind: int, form=None) -> str:
+    """A made-up piece of data of a kind, in a form of the lists above or the one given."""
     name = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvwz"), rng.integers(3, 9)))
+    pick = lambda forms: forms[int(rng.integers(0, len(forms)))] if form is None else form
+    if kind == 0:
+        at, dot = pick(AT_DOT)
+        local = name() + (str(rng.choice([".", "_", "-", dot])) + name() if rng.random() < 0.4 else "") + _filled(rng, "d" * int(rng.integers(0, 3)))
+        return local + at + name() + (dot + name() if rng.random() < 0.2 else "") + dot + str(rng.choice(["com", "org", "net", "de", "io", "info"]))
+    if kind == 1:
+        return pick(IP_SEPARATORS).join(str(x) for x in rng.integers(1, 255, 4))
+    return card_number(rng, pick(CARD_SEPARATORS)) if kind == 2 else _filled(rng, pick(PHONES))
+
+
+_NUMBERS = re.compile(r"[0-9a-f]{12,}|[0-9]{3,}")
+
+
+def pieces(text: str, seed: int) -> list[tuple[int, str, list[tuple[int, int, int]]]]:
+    """(sort, piece, base spans within it) of a text: TRAIN_PIECES at most about base spans (0), at other numbers (1), anywhere (2)."""
+    rng = np.random.default_rng(seed % (1 << 32))
+    base = base_spans(text)
+    marks = [a for a, _, _ in base], [m.start() for m in _NUMBERS.finditer(text)], range(0, max(1, len(text) - 40))
+    out = []
+    for sort, places in enumerate(marks):
+        for i in rng.choice(len(places), min(len(places), TRAIN_PIECES), replace=False) if len(places) else ():
+            at = max(0, int(places[int(i)]) - (int(rng.integers(0, 60)) if sort < 2 else 0))
+            part = text[at : at + TRAIN_LENGTH]
+            out.append((sort, part, [(max(0, a - at), k, min(b - at, len(part))) for a, k, b in base if b > at and a < at + len(part)]))
+    return out
 
-    def card(sep: str) -> str:
-        body = "4" + digits(14)
-        body += next(c for c in "0123456789" if luhn(body + c))
-        return sep.join(body[i : i + 4] for i in range(0, 16, 4))
-
-    def planted() -> tuple[int, str]:
-        kind, form = int(rng.integers(0, 4)), int(rng.integers(0, 4))
-        if kind == 0:
-            at, dot = [("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]")][form]
-            return 0, name() + str(rng.choice(["", ".", "_"])) + digits(int(rng.integers(0, 3))) + at + name() + dot + str(rng.choice(["com", "org", "net", "de"]))
-        if kind == 1:
-            return 1, str(rng.choice([".", " . ", "[.]", "."])).join(str(x) for x in rng.integers(1, 255, 4))
-        if kind == 2:
-            return 2, card(str(rng.choice(["", " ", "-", "."])))
-        a, b, c = digits(3), digits(3), digits(4)
-        return 3, [f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"00{digits(2)} {a} {b}{c}"][form]
 
+def training_windows(found: list[tuple[int, str, list[tuple[int, int, int]]]], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and tags: pieces as they are, and pieces with written-out data, or with numbers that are nobody's, put between their words."""
     ids = np.full((TRAIN_WINDOWS, TRAIN_LENGTH), 129, np.uint8)
     tags = np.zeros(ids.shape, np.uint8)
-    spans = [base_spans(t) for t in texts]
-    with_spans = [i for i, s in enumerate(spans) if s]
-    digit_at = [(i, m.start()) for i, t in enumerate(texts) for m in re.finditer(r"[0-9a-f]{12,}|[0-9]{3,}", t)]
+    by_sort = [[p for p in found if p[0] == sort] or found for sort in range(3)]
     for r in range(TRAIN_WINDOWS):
-        kind = r % 4
-        i = int(rng.choice(with_spans)) if kind == 0 and with_spans else int(rng.integers(0, len(texts)))
-        t = texts[i]
-        at = int(rng.integers(0, max(1, len(t) - 40)))
-        if kind == 0 and spans[i]:
-            at = max(0, spans[i][int(rng.integers(0, len(spans[i])))][0] - int(rng.integers(0, 60)))
-        elif kind == 3 and digit_at and r % 8 == 3:  # digits that are nobody's data
-            i, at = digit_at[int(rng.integers(0, len(digit_at)))]
-            t, at = texts[i], max(0, at - int(rng.integers(0, 60)))
-        part = t[at : at + TRAIN_LENGTH]
-        mark = np.zeros(len(part) + 200, np.uint8)
-        for a, k, b in spans[i]:
-            if b > at and a < at + len(part):
-                mark[max(0, a - at) : b - at] = k + 1
-        if kind == 1:
-            gaps = [m.start() for m in re.finditer(" ", part)] or [0]
-            g = int(rng.choice(gaps))
-            if not mark[g]:
-                k, s = planted()
-                part = part[:g] + " " + s + part[g:]
-                mark = np.concatenate([mark[:g], [0], np.full(len(s), k + 1, np.uint8), mark[g:]])
+        way = r % 8  # 0, 1: base spans; 2: numbers; 3: any; 4 to 6: written-out data; 7: other numbers put in
+        of = by_sort[0 if way < 2 else 1 if way == 2 else 2]
+        _, part, spans = of[int(rng.integers(0, len(of)))]
+        mark = np.zeros(len(part), np.uint8)
+        for a, k, b in spans:
+            mark[a:b] = k + 1
+        if way > 3:
+            gaps = [m.start() for m in re.finditer(r"\s|$", part)]
+            g = int(rng.choice(gaps[: max(1, len(gaps) * 2 // 3)]))
+            if g == len(mark) or not mark[g]:
+                k = int(rng.integers(0, 4)) if way < 7 else -1
+                new = written(rng, k) if k >= 0 else _filled(rng, OTHERS[int(rng.integers(0, len(OTHERS)))])
+                tail = str(rng.choice(["", "", ".", ",", ")", ";", "\n"]))
+                part = part[:g] + " " + new + tail + part[g:]
+                mark = np.concatenate([mark[:g], [0], np.full(len(new), k + 1, np.uint8), np.zeros(len(tail), np.uint8), mark[g:]])
         c = classes(part)[:TRAIN_LENGTH]
         ids[r, : c.size] = c
         tags[r, : c.size] = mark[: c.size]
@@ -344,16 +437,29 @@ def training_windows(texts: list[str], rng: np.random.Generator) -> tuple[np.nda
 
 
 def train(docs: DataFrame, seed: int = 0) -> BiLstmCrf | None:
-    """Fits the network to windows of about TRAIN_DOCS documents, chosen by a hash of their texts; None without any text."""
-    known = docs.select(F.col("text").cast("string").alias("text")).where("length(text) > 0")
+    """Fits the network to pieces of about TRAIN_DOCS documents, chosen by a hash of their texts; None without any text.
+
+    The pieces are cut in the tasks: the driver gets 3 * TRAIN_PIECES of TRAIN_LENGTH characters a document at most, however long the texts.
+    """
+    known = docs.select(F.col("text").cast("string").alias("text")).where("length(text) > 0").withColumn("h", F.xxhash64("text", F.lit("pii")))
     n = known.count()
     if not n:
         return None
     share = int(min(1.0, TRAIN_DOCS / n) * 2**31)
-    texts = sorted(r[0] for r in known.where(F.pmod(F.xxhash64("text", F.lit("pii")), F.lit(2**31)) < share).dropDuplicates().collect())
-    rng = np.random.default_rng(seed)
+    kind = "array<struct<sort:int,part:string,spans:array<struct<start:int,kind:int,end:int>>>>"
+
+    def run(batches):
+        as_row = lambda p: {"sort": p[0], "part": p[1], "spans": [dict(zip(("start", "kind", "end"), x)) for x in p[2]]}
+        shape = pa.list_(pa.struct([("sort", pa.int32()), ("part", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])))]))
+        for b in batches:
+            rows = [[as_row(p) for p in pieces(t, h)] for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, shape)], ["h", "pieces"])
+
+    cut = known.where(F.pmod("h", F.lit(2**31)) < share).mapInArrow(run, f"h bigint, pieces {kind}").dropDuplicates(["h"])
+    rows = sorted(cut.collect(), key=lambda r: r.h)
+    found = [(p.sort, p.part, [(s.start, s.kind, s.end) for s in p.spans]) for r in rows for p in r.pieces]
     net = BiLstmCrf(seed)
-    net.fit(*training_windows(texts or ["no text"], rng))
+    net.fit(*training_windows(found or [(2, "no text", [])], np.random.default_rng(seed)))
     return net
 
 
@@ -361,8 +467,10 @@ def find_personal_data(docs: DataFrame, net: BiLstmCrf | None) -> DataFrame:
     """(doc_id, base, spans) of every row: arrays of (kind, start, end) in code points, end exclusive, by start, then kind.
 
     base: the fixed patterns. spans: those and what the network adds. One pass
-    without shuffle over whole texts. Null or empty text: no spans. Null ids stay
-    null; repeated rows each get their row. Extra columns are ignored.
+    without shuffle over whole texts, a megabyte of them at once; a longer text is
+    tagged whole, a batch of windows at a time, and takes a few bytes a character.
+    Null or empty text: no spans. Null ids stay null; repeated rows each get their
+    row. Extra columns, whatever their names, are ignored. Empty table: no rows.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     show = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans]
