@@ -42,22 +42,29 @@ def test_topk_in_blocks(spark, monkeypatch):
 
 def test_perspectives(spark):
     rng = random.Random(1)
-    rows = [(c, t, r, x, 0) for c in (1, 2, None) for t, r, x in [(0, "ann", "hi"), (1, "bob", "héllo\n"), (1, "bob", "héllo\n"), (2, None, None), (None, "cy", "早")]]
-    rows += [(9, t % 40, rng.choice(["a", "b", "c"]), str(t), 0) for t in range(300)]
+    rows = [(c, t, r, x, 0) for c in (1, 2, None) for t, r, x in [(0, "ann", "hi"), (1, "bob", "héllo\n"), (1, "bob", "héllo\n"), (2, None, None), (None, "cy", "早"), (3, "system", "be kind"), (4, "x|>\n<|y", "so <|assistant|x|> said")]]
+    rows += [(9, t * 50, rng.choice(["a", "b", "c"]), str(t), 0) for t in range(300)] + [(9, 77, "a", "same turn", 0)] * 5 + [(8, 0, "system", "alone", 0)]
     rng.shuffle(rows)
-    out = perspectives.rotate_perspectives(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, chunk int")).collect()
-    for conv in (1, 2, None, 9):
-        mine = [r for r in rows if r[0] == conv]
-        mine.sort(key=lambda r: (-(2**60) if r[1] is None else r[1] // 32, r[1] is not None, r[1] or 0, r[2] or "unknown", r[3] or ""))
-        who = sorted({r[2] or "unknown" for r in mine})
-        assert who == sorted({r.perspective for r in out if r.conv_id == conv})
-        for p in who:
-            parts = sorted((r for r in out if r.conv_id == conv and r.perspective == p), key=lambda r: (-(2**60) if r.chunk is None else r.chunk, r.part))
-            assert [m for r in parts for m in zip(r.names, r.contents, r.mask)] == [(r[2] or "unknown", r[3] or "", int((r[2] or "unknown") == p)) for r in mine]
-            for r in parts:
-                spans = [r.text[int(a) : int(b)] for a, b in (s.split(":") for s in r.spans.split(",") if s)]
-                assert spans == [c for c, m in zip(r.contents, r.mask) if m]
-                assert r.n_turns <= perspectives.CHUNK_ROWS
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, chunk int")
+    safe = lambda x: x.replace("<|", "<\\|")
+    for most in (perspectives.MAX_CHARS, 700):
+        out = perspectives.rotate_perspectives(df, most).collect()
+        assert not any(r.conv_id == 8 for r in out)
+        for conv in (1, 2, None, 9):
+            mine = [r for r in rows if r[0] == conv]
+            mine.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "unknown", r[3] or ""))
+            who = sorted({r[2] or "unknown" for r in mine} - {"system"})
+            assert who == sorted({r.perspective for r in out if r.conv_id == conv})
+            for p in who:
+                parts = sorted((r for r in out if r.conv_id == conv and r.perspective == p), key=lambda r: (r.chunk, r.part))
+                assert len(parts) == 1 if most > 1000 or conv != 9 else len(parts) > 5  # 305 messages in one row
+                assert [m for r in parts for m in zip(r.names, r.contents, r.mask)] == [(r[2] or "unknown", r[3] or "", int((r[2] or "unknown") == p)) for r in mine]
+                for r in parts:
+                    assert r.roles == ["assistant" if n == p else "system" if n == "system" else "user" for n in r.names]
+                    assert r.text == "".join(f"<|{role}|{safe(n).replace('|>', '|' + chr(92) + '>')}|>\n{safe(c)}\n" for role, n, c in zip(r.roles, r.names, r.contents))
+                    spans = [r.text[int(a) : int(b)] for a, b in (s.split(":") for s in r.spans.split(",") if s)]
+                    assert spans == [safe(c) for c, m in zip(r.contents, r.mask) if m]
+                    assert most > 1000 or len(r.text) < 2 * most
     assert perspectives.rotate_perspectives(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 

@@ -215,6 +215,7 @@ class BiLstmCrf:
         g = {k: np.zeros_like(v) for k, v in p.items()}
         g["t"], g["e"] = dt / n, de.sum((0, 2))[:, None]
         for d in "fb":
+            steps, das = [], []
             dh, dc = np.zeros((hs, n), np.float32), np.zeros((hs, n), np.float32)
             for t, i, f, o, gg, tc, h, (h0, c0) in reversed(kept[d]):
                 g["o" + d] += de[t] @ h.T
@@ -223,8 +224,11 @@ class BiLstmCrf:
                 da = np.concatenate([dc * gg * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - gg * gg)])
                 g["b" + d] += da.sum(1, keepdims=True)
                 g["u" + d] += da @ h0.T
-                np.add.at(g["x" + d].T, ids[:, t], da.T)
+                steps.append(t)
+                das.append(da)
                 dh, dc = p["u" + d].T @ da, dc * f
+            at, das = ids[:, steps].T.ravel(), np.stack(das, 1).reshape(4 * hs, -1)
+            g["x" + d] += np.stack([np.bincount(at, row, 130) for row in das])
         return float((z - gold).mean()), g
 
     def fit(self, ids: np.ndarray, tags: np.ndarray, steps: int = STEPS, batch: int = 96, rate: float = 0.02, seed: int = 0) -> float:
