@@ -71,7 +71,7 @@ def test_perspectives(spark):
 def slow_revisit(r, rows):
     if r[1] is None or r[2] is None:
         return None
-    past = [x for x in rows if x[3] == 200 and x[1] == r[1] and x[2] is not None and x[2] < r[2]]
+    past = [x for x in rows if x[3] in (200, 203) and x[1] == r[1] and x[2] is not None and x[2] < r[2]]
     return max(past, key=lambda x: (x[2], x[0]), default=None)
 
 
@@ -80,7 +80,7 @@ def test_revisits(spark):
     rows = []
     for i in range(600):
         url = rng.choice(["http://h.org/x", "http://h.org/y", "http://k.org/z", None])
-        status = rng.choice([200, 304, 404])
+        status = rng.choice([200, 203, 304, 404])
         h = rng.choice([None, {"ETag": rng.choice(['"a"', 'W/"a"', '"b"']), "Content-Length": str(i), "X": str(i)}, {"Last-Modified": rng.choice(["m", "n"]), "date": "d", "DATE": "e"}, {"Vary": None}])
         rows.append((i, url, rng.choice([None, rng.randint(0, 400_000)]) if i % 9 else 100, status, h, "clash"))
     df = spark.createDataFrame(rows, "record_id bigint, url string, captured_at bigint, status int, headers map<string,string>, bucket string")
@@ -106,9 +106,20 @@ def test_revisits(spark):
 
 
 def test_canonical_urls(spark):
-    urls = ["HTTP://Ex.org:80/a?utm_source=x&b=1#f", "https://ex.org/a?b=1", "ex.org", "http://ex.org/?utm_a=1", None]
+    cases = {
+        "HTTP://Ex.org:80/a?utm_source=x&b=1#f": "ex.org/a?b=1", "https://ex.org/a?b=1": "ex.org/a?b=1", "ex.org": "ex.org/", "http://ex.org/?utm_a=1": "ex.org/", None: None, "": "/",
+        "http://h.org:443/a": "h.org:443/a", "https://h.org:443/a": "h.org/a", "https://h.org:80/a": "h.org:80/a", "http://u:p@H.org.:8080/": "h.org:8080/",
+        "http://h/a/./b/../c": "h/a/c", "http://h/../../x/..": "h/", "http://h/a/.": "h/a/", "http://h/a..b/.c": "h/a..b/.c",
+        "http://h/?b=2&&a=1&utm_x=&b=1": "h/?a=1&b=1&b=2", "http://h/%7euser/%2f%zz%e4?q=%41%3d": "h/~user/%2F%zz%E4?q=A%3D", "http://h/100%": "h/100%", "http://h/%2e%2E/x": "h/x",
+    }
+    urls = list(cases)
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(warc_revisits.canonical_url(__import__("pyspark").sql.functions.col("u"))).collect()]
-    assert got == ["ex.org/a?b=1", "ex.org/a?b=1", "ex.org/", "ex.org/", None]
+    assert got == list(cases.values())
+
+
+def test_registered_revisits_show_each_outcome(spark):
+    got = {r[0]: r[1] for r in warc_revisits.op2_query(spark, "/root/testdata/sf0.001").groupBy("outcome").count().collect()}
+    assert set(got) == {"resolved", "unverified", "mismatch", "orphan"}, got
 
 
 def slow_tiles(item, doc, least):

@@ -11,12 +11,53 @@ BUCKET_SECONDS = 86_400
 NOT_MERGED = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
 
 
+#: Default ports by scheme.
+PORTS = {"http": "80", "https": "443"}
+FULL = (200, 203)  # statuses of full responses that a 304 may repeat
+
+
+def _escapes(part: Column) -> Column:
+    """Percent escapes in upper case; those of letters, digits and -._~ decoded; a stray % stays."""
+
+    def one(p, i):
+        code = F.upper(F.substring(p, 1, 2))
+        char = F.decode(F.unhex(code), "UTF-8")
+        plain = F.when(code.rlike("^[2-7][0-9A-F]$") & char.rlike("^[A-Za-z0-9._~-]$"), char).otherwise(F.concat(F.lit("%"), code))
+        return F.when(i == 0, p).when(code.rlike("^[0-9A-F]{2}$"), F.concat(plain, F.substring(p, 3, 1 << 30))).otherwise(F.concat(F.lit("%"), p))
+
+    return F.array_join(F.transform(F.split(part, "%"), one), "")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. segments resolved."""
+    segments = F.split(path, "/")
+    walked = F.aggregate(
+        segments,
+        F.expr("cast(array() as array<string>)"),
+        lambda acc, s: F.when(s == ".", acc).when((s == "..") & (F.size(acc) > 1), F.slice(acc, 1, F.size(acc) - 1)).when(s == "..", acc).otherwise(F.array_append(acc, s)),
+    )
+    out = F.concat(F.array_join(walked, "/"), F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise(""))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), out).otherwise(path)
+
+
 def canonical_url(url: Column) -> Column:
-    """Scheme-less key of a URL: host in lower case without default port, path, and query without fragment and tracking (utm_*) parameters."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), ":(80|443)$", "")
-    path = F.regexp_extract(bare, "^[^/?]*([^?]*)", 1)
-    query = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"\?(.*)$", 1), "(^|&)utm_[a-z]+=[^&]*", ""), "^&", "")
+    """Scheme-less key of a URL.
+
+    Host in lower case without user, the default port of its scheme and a trailing
+    dot; path with dot segments resolved; query parameters sorted, without
+    tracking (utm_*) ones and empty ones; escapes normalised; no fragment. Other
+    ports stay, so that http://h:443/ and https://h/ differ.
+    """
+    bare = F.regexp_replace(F.trim(url), "#.*$", "")
+    scheme = F.lower(F.regexp_extract(bare, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    bare = F.regexp_replace(bare, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), "^.*@", "")
+    for name, port in PORTS.items():
+        host = F.when((scheme == name) | ((scheme == "") & (port == F.lit("80"))), F.regexp_replace(host, f":{port}$", "")).otherwise(host)
+    host = F.regexp_replace(host, r":$|\.(?=:|$)", "")
+    path = _without_dots(_escapes(F.regexp_extract(bare, "^[^/?]*([^?]*)", 1)))
+    kept = F.array_sort(F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike("^utm_[a-z]+=")))
+    query = F.array_join(F.transform(kept, _escapes), "&")
     return F.concat(host, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
@@ -24,10 +65,11 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     """Joins every 304 to the latest earlier full response of its canonical URL.
 
     records: record_id bigint, url string, captured_at bigint (seconds), status
-    int, headers map<string,string> (names in any case). Returns one row for each
-    record of status 304: record_id, canonical_url, captured_at, source_id (the
-    record_id of the response, null if none), outcome and headers, the merged map
-    with lower-case names (null unless merged).
+    int, headers map<string,string> (names in any case). Full responses are those
+    of a status in FULL. Returns one row for each record of status 304:
+    record_id, canonical_url, captured_at, source_id (the record_id of the
+    response, null if none), outcome and headers, the merged map with lower-case
+    names (null unless merged).
 
     outcome: ``resolved`` if the 304 repeats the response's ETag (weak comparison)
     or, without an ETag on either side, its Last-Modified; ``unverified`` if they
@@ -35,16 +77,19 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     earlier response. Headers are merged for the first two: fields of the 304
     replace the stored ones, save framing and representation fields.
 
-    The as-of join has two levels: the last response within each (URL, time
-    bucket), and the last response of each bucket carried over later ones, so one
-    URL with a third of all captures spreads over its buckets. Bodies never move.
-
-    Null url or time: an orphan. Equal times: a response at the revisit's own
-    second isn't earlier; among responses the larger record_id is later. Repeated
-    rows each count. Null headers: none. Empty table: no rows. Extra columns are
-    ignored.
+    Bodies never move, and no key is unbounded: responses are first reduced to
+    the last of each (URL, second), revisits to their different (URL, second)s.
+    The as-of join then has two levels: within each (URL, time bucket) of at most
+    ``bucket_seconds`` such seconds, and over the buckets of a URL, of which each
+    hands on its last response. Revisits join the (URL, second) they share.
+
+    Null url or time: an orphan, outside the join. Equal times: a response at the
+    revisit's own second isn't earlier; among responses of one second the larger
+    record_id is later. Repeated rows each count. Null headers: none. Names that
+    differ in case only: the first counts. Very long URLs and values pass through
+    whole. Empty table: no rows. Extra columns, whatever their names, are ignored.
     """
-    names = F.array_distinct(F.transform(F.map_keys("headers"), F.lower))  # of names that differ in case only, the first counts
+    names = F.array_distinct(F.transform(F.map_keys("headers"), F.lower))
     low = F.map_from_arrays(names, F.transform(names, lambda k: F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]) == k)[0]["value"]))
     low = F.map_filter(low, lambda _, v: v.isNotNull())
     r = records.select(
@@ -53,16 +98,24 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
         F.col("captured_at").cast("bigint").alias("at"),
         F.col("status").cast("int").alias("status"),
         F.coalesce("headers", F.expr("cast(map() as map<string,string>)")).alias("headers"),
-    ).where("status in (200, 304)")
-    r = r.withColumn("headers", low).withColumn("bucket", F.floor(F.col("at") / bucket_seconds).cast("bigint"))
-    full = F.when(F.col("status") == 200, F.struct(F.col("at").alias("src_at"), F.col("record_id").alias("source_id"), F.col("headers").alias("stored")))
-    # where a revisit and a response share a second, the revisit comes first
-    order = Window.partitionBy("canonical_url", "bucket").orderBy("at", F.col("status").desc(), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = r.withColumn("near", F.last(full, ignorenulls=True).over(order)).where("status = 304")
-    ends = r.where("canonical_url is not null and at is not null").groupBy("canonical_url", "bucket").agg(F.max_by(full, F.when(F.col("status") == 200, F.struct("at", F.coalesce("record_id", F.lit(-(2**63))).alias("record_id")))).alias("end"))
-    before = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("canonical_url", "bucket", F.last("end", ignorenulls=True).over(before).alias("far"))
-    both = near.join(carried, ["canonical_url", "bucket"], "left").withColumn("src", F.when(F.col("canonical_url").isNotNull() & F.col("at").isNotNull(), F.coalesce("near", "far")))
+    ).where(F.col("status").isin(304, *FULL))
+    r = r.withColumn("headers", low)
+    known = F.col("canonical_url").isNotNull() & F.col("at").isNotNull()
+    revisits = r.where("status = 304")
+    last = F.max_by(F.struct(F.col("record_id").alias("source_id"), F.col("headers").alias("stored")), F.coalesce("record_id", F.lit(-(2**63))))
+    responses = r.where(F.col("status").isin(*FULL) & known).groupBy("canonical_url", "at").agg(last.alias("full"))
+    asked = revisits.where(known).select("canonical_url", "at").distinct()
+    points = responses.select("canonical_url", "at", "full").unionByName(asked.withColumn("full", F.lit(None).cast(responses.schema["full"].dataType)))
+    points = points.withColumn("bucket", F.floor(F.col("at") / bucket_seconds).cast("bigint"))
+    # at one second, the revisit comes first: it doesn't see that second's response
+    order = Window.partitionBy("canonical_url", "bucket").orderBy("at", F.col("full").isNotNull())
+    points = points.withColumn("near", F.last("full", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = responses.groupBy("canonical_url", F.floor(F.col("at") / bucket_seconds).cast("bigint").alias("bucket")).agg(F.max_by("full", "at").alias("end"))
+    ends = ends.unionByName(asked.select("canonical_url", F.floor(F.col("at") / bucket_seconds).cast("bigint").alias("bucket")).distinct().withColumn("end", F.lit(None).cast(responses.schema["full"].dataType)))
+    before = Window.partitionBy("canonical_url").orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("far", F.last("end", ignorenulls=True).over(before)).groupBy("canonical_url", "bucket").agg(F.first("far").alias("far"))
+    found = points.where("full is null").join(carried, ["canonical_url", "bucket"], "left").select(F.col("canonical_url").alias("u"), F.col("at").alias("t"), F.coalesce("near", "far").alias("src"))
+    both = revisits.join(found, (F.col("canonical_url") == F.col("u")) & (F.col("at") == F.col("t")), "left")
     weak = lambda m: F.regexp_replace(m["etag"], "^W/", "")
     mine, stored = F.col("headers"), F.col("src.stored")
     outcome = (
@@ -79,13 +132,41 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """Archive records of crawled pages: for each page a full response at hour page_id, and a day later a 304 of the same address that carries the page's ETag."""
-    etag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    """Archive records made of crawled pages, ten record numbers a page; a page is captured at hour page_id.
+
+    Of the page itself: a full response with an ETag (page_id mod 8 = 0, 1, 3, 5),
+    with Last-Modified only (4, 6) or without validators (7), or none (2); mod 8
+    = 1 and 5: another one of other content, 5 within the same second; then a 304
+    of the page's address with tracking and a fragment in it, two days later, that
+    repeats the first response's ETag or, where mod 8 = 4 and 6, a Last-Modified
+    (6: another one); mod 8 = 3: in the second of the response. Of its host's
+    /robots.txt: a 304, or a full response where page_id mod 5 = 0, with an ETag
+    that changes every 40 pages.
+    """
+    kind = F.col("page_id") % 8
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
     at = F.col("page_id") * 3600
-    head = lambda *kv: F.create_map(*[x if isinstance(x, Column) else F.lit(x) for x in kv])
-    response = F.struct((F.col("page_id") * 2).alias("record_id"), "url", at.alias("captured_at"), F.lit(200).alias("status"), head("Content-Type", "text/html", "Content-Length", F.length("html").cast("string"), "ETag", etag, "Date", at.cast("string"), "Cache-Control", "max-age=60").alias("headers"))
-    revisit = F.struct((F.col("page_id") * 2 + 1).alias("record_id"), F.concat(F.col("url"), F.lit("#again")).alias("url"), (at + 86_400).alias("captured_at"), F.lit(304).alias("status"), head("Content-Length", "0", "ETag", F.concat(F.lit("W/"), etag), "Date", (at + 86_400).cast("string"), "Expires", (at + 90_000).cast("string")).alias("headers"))
-    return pages.select(F.explode(F.array(response, revisit)).alias("r")).select("r.*")
+    ident = F.col("page_id") * 10
+    text = lambda x: x if isinstance(x, Column) else F.lit(x)
+
+    def record(k, url, seconds, status, **headers):
+        fields = F.map_filter(F.create_map(*[text(x) for n, v in headers.items() for x in (n.replace("_", "-"), v)]), lambda _, v: v.isNotNull())
+        return F.struct((ident + k).alias("record_id"), url.alias("url"), seconds.alias("captured_at"), F.lit(status).alias("status"), fields.alias("headers"))
+
+    etag = lambda v: F.when(kind.isin(0, 1, 2, 3, 5), v)
+    changed = F.when(kind.isin(4, 6), F.concat(F.lit("day "), (F.col("page_id") % 30).cast("string")))
+    first = record(0, F.col("url"), at, 200, **{"Content-Type": "text/html", "Content-Length": F.length("html").cast("string"), "ETag": etag(tag), "Last-Modified": changed, "Date": at.cast("string"), "Cache-Control": "max-age=60"})
+    second = record(1, F.col("url"), F.when(kind == 5, at).otherwise(at + 86_400), 200, **{"Content-Type": "text/html", "ETag": F.concat(F.lit('"x'), F.md5("html"), F.lit('"')), "Date": at.cast("string")})
+    later = F.when(kind == 3, at).otherwise(at + 172_800)
+    tracked = F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.col("url").contains("?"), F.lit("&")).otherwise("?"), F.lit("utm_source=feed#again"))
+    again = record(2, tracked, later, 304, **{"Content-Length": "0", "ETag": F.when(kind != 4, F.concat(F.lit("W/"), tag)), "Last-Modified": F.when(kind == 6, "never").otherwise(changed), "Date": later.cast("string"), "Expires": (later + 3600).cast("string")})
+    host = F.regexp_extract("url", "^([^/]*//[^/?#]*)", 1)
+    robots = F.concat(host, F.lit("/robots.txt"))
+    version = F.concat(F.lit('"v'), F.floor(F.col("page_id") / 40).cast("string"), F.lit('"'))
+    own = record(3, robots, at, 200, **{"Content-Type": "text/plain", "ETag": version, "Date": at.cast("string")})
+    polled = record(3, robots, at, 304, **{"ETag": version, "Date": at.cast("string")})
+    shown = F.array(F.when(kind != 2, first), F.when(kind.isin(1, 5), second), again, F.when(F.col("page_id") % 5 == 0, own).otherwise(polled))
+    return pages.select(F.explode(F.filter(shown, lambda x: x.isNotNull())).alias("r")).select("r.*")
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
@@ -95,18 +176,32 @@ def op2_query(spark, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH p AS (
-  SELECT page_id, md5(html) AS tag, length(html) AS n, page_id * 3600 AS at, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+  SELECT page_id, page_id % 8 AS kind, url, '"' || md5(html) || '"' AS tag, length(html) AS n, page_id * 3600 AS secs,
+    'day ' || (page_id % 30) AS day, '"v' || (page_id // 40) || '"' AS version FROM pages),
+records AS (
+  SELECT page_id * 10 AS record_id, url, secs AS captured_at, 200 AS status, CASE WHEN kind IN (0, 1, 3, 5) THEN tag END AS etag, CASE WHEN kind IN (4, 6) THEN day END AS modified,
+    'text/html' AS type, CAST(n AS VARCHAR) AS size, 'max-age=60' AS cache, NULL AS expires FROM p WHERE kind <> 2
+  UNION ALL SELECT page_id * 10 + 1, url, CASE WHEN kind = 5 THEN secs ELSE secs + 86400 END, 200, '"x' || substr(tag, 2), NULL, 'text/html', NULL, NULL, NULL FROM p WHERE kind IN (1, 5)
+  UNION ALL SELECT page_id * 10 + 2, regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=feed#again', CASE WHEN kind = 3 THEN secs ELSE secs + 172800 END, 304,
+    CASE WHEN kind <> 4 THEN 'W/' || tag END, CASE WHEN kind = 6 THEN 'never' WHEN kind = 4 THEN day END, NULL, NULL, NULL, CAST(CASE WHEN kind = 3 THEN secs ELSE secs + 172800 END + 3600 AS VARCHAR) FROM p
+  UNION ALL SELECT page_id * 10 + 3, regexp_extract(url, '^([^/]*//[^/?#]*)', 1) || '/robots.txt', secs, CASE WHEN page_id % 5 = 0 THEN 200 ELSE 304 END, version, NULL, CASE WHEN page_id % 5 = 0 THEN 'text/plain' END, NULL, NULL, NULL FROM p),
+u AS (
+  SELECT *, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM records),
 q AS (
-  SELECT *, regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), ':(80|443)$', '') AS host, regexp_extract(bare, '^[^/?]*([^?]*)', 1) AS path,
-    regexp_replace(regexp_replace(regexp_extract(bare, '\?(.*)$', 1), '(^|&)utm_[a-z]+=[^&]*', '', 'g'), '^&', '') AS query FROM p),
+  SELECT *, regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), CASE scheme WHEN 'https' THEN ':443$' ELSE ':80$' END, '') AS host, regexp_extract(bare, '^[^/?]*([^?]*)', 1) AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^utm_[a-z]+='))), '&') AS query FROM u),
 c AS (
-  SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical_url FROM q),
+  SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical_url, CASE WHEN status = 200 THEN captured_at ELSE NULL END AS dated FROM q),
+full_ AS (SELECT canonical_url, captured_at, max_by(c, record_id) AS s FROM c WHERE status = 200 GROUP BY ALL),
 j AS (
-  SELECT r.page_id, r.canonical_url, r.tag, r.at + 86400 AS captured_at, max_by(s.page_id, s.page_id) AS src FROM c r
-  LEFT JOIN c s ON s.canonical_url = r.canonical_url AND s.at < r.at + 86400 GROUP BY ALL)
-SELECT j.page_id * 2 + 1 AS record_id, j.canonical_url, j.captured_at, s.page_id * 2 AS source_id,
-  CASE WHEN s.page_id IS NULL THEN 'orphan' WHEN s.tag = j.tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
-  CASE WHEN s.tag = j.tag THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || s.n || chr(10) || 'content-type: text/html' || chr(10) ||
-    'date: ' || j.captured_at || chr(10) || 'etag: W/"' || j.tag || '"' || chr(10) || 'expires: ' || (j.captured_at + 3600) END AS headers
-FROM j LEFT JOIN c s ON s.page_id = j.src
+  SELECT r.*, f.s FROM (SELECT *, captured_at - 1 AS till FROM c WHERE status = 304) r ASOF LEFT JOIN full_ f ON r.canonical_url = f.canonical_url AND r.till >= f.captured_at),
+o AS (
+  SELECT *, CASE WHEN s IS NULL THEN 'orphan'
+    WHEN etag IS NOT NULL AND s.etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = s.etag THEN 'resolved' ELSE 'mismatch' END
+    WHEN modified IS NOT NULL AND s.modified IS NOT NULL THEN CASE WHEN modified = s.modified THEN 'resolved' ELSE 'mismatch' END
+    ELSE 'unverified' END AS outcome FROM j)
+SELECT record_id, canonical_url, captured_at, s.record_id AS source_id, outcome,
+  CASE WHEN outcome IN ('resolved', 'unverified') THEN concat_ws(chr(10), 'cache-control: ' || s.cache, 'content-length: ' || s.size, 'content-type: ' || s.type, 'date: ' || captured_at,
+    'etag: ' || coalesce(etag, s.etag), 'expires: ' || expires, 'last-modified: ' || coalesce(modified, s.modified)) END AS headers
+FROM o
 """
