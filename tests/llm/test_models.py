@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -68,3 +70,55 @@ def test_toxic_fold_and_exceptions(spark):
     none = toxic_lexicon.train(docs, labels.limit(0))
     assert {r.score < 0.3 for r in toxic_lexicon.score_toxicity(odd, none).collect()} == {True}
     assert toxic_lexicon.score_toxicity(odd.limit(0), lex).count() == 0
+
+
+def slow_probabilities(net, window):
+    """The network by its definition: one place, one filter, one byte at a time."""
+    pooled = []
+    for k, w in enumerate(byte_cnn.WIDTHS):
+        for f in range(k * byte_cnn.FILTERS, (k + 1) * byte_cnn.FILTERS):
+            best = -np.inf
+            for at in range(byte_cnn.WINDOW - max(byte_cnn.WIDTHS) + 1):
+                best = max(best, sum(float(net.table[window[at + i]] @ net.filters[i * byte_cnn.EMBED : (i + 1) * byte_cnn.EMBED, f]) for i in range(w)))
+            pooled.append(max(0.0, best + float(net.bias[f])))
+    z = np.array([sum(p * float(o) for p, o in zip(pooled, net.out[:, j])) + float(net.out_bias[j]) for j in range(len(net.langs))])
+    z = np.exp(z - z.max())
+    return z / z.sum()
+
+
+def test_network_by_definition():
+    rng = np.random.default_rng(4)
+    net = byte_cnn.ByteCNN(["a", "b", "c"], seed=2)
+    net.bias[:] = rng.normal(0, 0.3, net.bias.shape)
+    net.out[:] = rng.normal(0, 0.5, net.out.shape)
+    x = rng.integers(0, 256, (5, byte_cnn.WINDOW)).astype(np.uint8)
+    assert np.abs(net.predict(x, batch=2) - np.array([slow_probabilities(net, w) for w in x])).max() < 1e-4
+
+
+def slow_sums(lex, text):
+    """Patterns tried one by one at each place of the folded words."""
+    words = re.findall(r"\w+", toxic_lexicon.fold_text(text))
+    line = f" {' '.join(words)} "
+    spared = [(i, i + len(e) - 1) for e in lex.exceptions for i in range(len(line)) if line.startswith(e, i)]
+    total = hits = 0
+    for i in range(len(line)):
+        best = max((w for p, w in lex.weights.items() if line.startswith(p, i)), default=0.0)
+        if best > 0 and not any(a <= i < b for a, b in spared):
+            total, hits = total + best, hits + 1
+    return total, hits, len(words)
+
+
+def test_matching_by_definition():
+    rng = np.random.default_rng(3)
+    lex = toxic_lexicon.Lexicon({" idiot ": 3.0, " idi": 2.0, " stup": 2.5, " trash ": 1.5, " as": 1.0}, ("trash can", "stupid simple"))
+    lex.weights = {toxic_lexicon.fold_text(k): v for k, v in lex.weights.items()}
+    bits = ["idiot", "1d10t!", "idiots", "$tupid", "stupid", "simple", "trash", "can", "@s", "as$", "clean", "words", "10", "tr@sh", "ідіот", "!diot"]
+    for _ in range(300):
+        text = " ".join(rng.choice(bits, int(rng.integers(0, 12))))
+        assert lex.sums(text) == slow_sums(lex, text), text
+
+
+def test_folding():
+    same = {"$tupid": "stupid", "@ss": "ass", "as$": "ass", "!diot": "idiot", "1d10t": "idiot", "l0ser": "loser", "stupid!!": "stupid!!", "ѕtupіd": "stupid", "ｓtupid": "stupid", "st\u200bupid": "stupid", "2024": "2024", "$5": "$5"}
+    for a, b in same.items():
+        assert toxic_lexicon.fold_text(a) == toxic_lexicon.fold_text(b), a

@@ -29,8 +29,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-MAX_TRAIN_CHARS = 50_000  # of a text that a classifier is fitted to; every text is scored whole
-
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -221,17 +219,16 @@ def near_codes(keyed: DataFrame, most: int, limit: int | None = None) -> DataFra
     return links.union(meet(found.where("v is null").select("u").mapInArrow(longer, "key bigint, code bigint"), None))
 
 
-def training_rows(docs: DataFrame, label: str, most: int) -> list[tuple]:
-    """[(text, label)] of a bounded sample of rows outside the held-out quarter.
+def training_rows(docs: DataFrame, label: str, most: int) -> DataFrame:
+    """(text, label) of a bounded sample of rows outside the held-out quarter.
 
-    Rows whose crc32(doc_id as text) mod 4 is 2, or without a label, never count,
-    nor do texts above MAX_TRAIN_CHARS characters: the driver holds the sample.
+    Rows whose crc32(doc_id as text) mod 4 is 2, or without a label, never count.
     Labels are counted first; each then gives about ``most`` rows, those of the
-    least hashes of doc_id. The driver gets ``most`` rows a label in expectation.
+    least hashes of doc_id.
     """
     known = docs.where(F.col(label).isNotNull() & F.expr("crc32(cast(doc_id as string)) % 4 <> 2"))
     counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
-    return sorted((r[0], r[1]) for r in known.where(sampled(counts, label, most) & (F.length("text") <= MAX_TRAIN_CHARS)).select("text", label).collect()) if counts else []
+    return known.where(sampled(counts, label, most)).select(F.col("text").cast("string").alias("text"), F.col(label).alias("label"))
 
 
 def sampled(counts: dict, label: str, most: int):

@@ -16,8 +16,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12  # of each width
 EMBED = 6
 MAX_TRAIN_DOCS = 2_000  # labelled documents a language that are fitted to, in expectation
-MAX_TRAIN_WINDOWS = 8  # of each
-LEAST_SCORE = 0.35  # below, a language counts as not recognised: short and mixed texts score 0.4 to 0.5
+TRAIN_WINDOWS = 8  # of each, spread over its whole text
 _STEP = WINDOW - max(WIDTHS) + 1
 _LETTER = re.compile(r"[^\W\d_]")
 _IS_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
@@ -118,28 +117,48 @@ class ByteCNN:
 def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> ByteCNN | None:
     """Fits a network to labelled rows of docs (doc_id, text, lang) whose crc32(doc_id as text) mod 4 is not 2.
 
-    About max_docs documents of each language, chosen by a hash of doc_id, and up
-    to MAX_TRAIN_WINDOWS windows spread over each whole text.
+    About max_docs documents of each language, chosen by a hash of doc_id, and
+    TRAIN_WINDOWS windows spread over each whole text (all, if fewer). The tasks
+    cut the windows: the driver gets 8 of 128 bytes a document, however long it is.
     """
-    rows = training_rows(docs, "lang", max_docs)
-    langs = sorted({r[1] for r in rows})
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for text in b.column(0).to_pylist():
+                if text is None or not _LETTER.search(text):
+                    out.append([])
+                    continue
+                w = windows(text)
+                w = w[np.unique(np.linspace(0, len(w) - 1, TRAIN_WINDOWS).astype(int))]
+                out.append([bytes(x) for x in (w[_IS_LETTER[w].sum(1) >= 8] if len(w) > 1 else w)])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.list_(pa.binary()))], ["label", "windows"])
+
+    rows = sorted((r[0], bytes(w)) for r in training_rows(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")), "lang", max_docs).mapInArrow(cut, "label string, windows array<binary>").collect() for w in r[1] or [b""])
+    langs = sorted({r[0] for r in rows})
     if not langs:
         return None
     code = {k: i for i, k in enumerate(langs)}
-    x, y = [], []
-    for text, lang in rows:
-        if _LETTER.search(text):
-            w = windows(text)
-            w = w[np.unique(np.linspace(0, len(w) - 1, MAX_TRAIN_WINDOWS).astype(int))]
-            w = w[_IS_LETTER[w].sum(1) >= 8] if len(w) > 1 else w
-            x.append(w)
-            y.append(np.full(len(w), code[lang]))
+    rows = [r for r in rows if r[1]]
     net = ByteCNN(langs)
-    if x:
-        net.fit(np.concatenate(x), np.concatenate(y))
+    if rows:
+        net.fit(np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, WINDOW), np.array([code[r[0]] for r in rows]))
     return net
 
 
+def _judged(net: ByteCNN | None, texts: list[str | None]) -> list[tuple[str, float]]:
+    """classify() of many texts, windows of about a megabyte of text at once; without a network, any language where there is a letter."""
+    if net is None:
+        return [("und" if t is None or not _LETTER.search(t) else "", 1.0) for t in texts]
+    got, size, at = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size > 1_000_000 or i == len(texts) - 1:
+            got += net.classify(texts[at : i + 1])
+            size, at = 0, i + 1
+    return got
+
+
 def identify(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row, one pass without shuffle.
 
@@ -150,34 +169,24 @@ def identify(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts, size, at = b.column(1).to_pylist(), 0, 0
-            got = []
-            for i, t in enumerate(texts):  # windows of about a megabyte of text at once
-                size += len(t or "")
-                if size > 1_000_000 or i == len(texts) - 1:
-                    got += net.classify(texts[at : i + 1]) if net else [("und", 0.0)] * (i + 1 - at)
-                    size, at = 0, i + 1
+            got = _judged(net, b.column(1).to_pylist()) if net else [("und", 0.0)] * b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, net: ByteCNN | None, least: float = LEAST_SCORE) -> DataFrame:
-    """docs whose language is recognised with a score of ``least`` or more; columns unchanged.
+def keep_identified(docs: DataFrame, net: ByteCNN | None, least: float = 0.0) -> DataFrame:
+    """docs whose language is recognised, with a score of ``least`` or more if one is given; columns unchanged.
 
     Null texts and texts without a letter go. Where nothing was learnt, every
     text with a letter stays. Repeated rows and rows without an id are judged by
-    their text like any other.
+    their text like any other. Very long texts are classified whole, about a
+    megabyte of text at once. Column names are free. Empty table: no rows.
     """
 
     def run(batches, at=docs.columns.index("text")):
         for b in batches:
-            texts = b.column(at).to_pylist()
-            if net:
-                keep = [lang != "und" and score >= least for lang, score in net.classify(texts)]
-            else:
-                keep = [t is not None and _LETTER.search(t) is not None for t in texts]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            yield b.filter(pa.array([lang != "und" and score >= least for lang, score in _judged(net, b.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
