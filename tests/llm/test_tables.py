@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidalframe.llm import perspectives, string_tiling, topk_norm, warc_revisits
 
@@ -37,9 +38,24 @@ def test_topk_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)], "vec_id bigint, embedding array<double>")
     whole = sorted(map(tuple, topk_norm.norm_bucket_topk(df.where("vec_id % 5 = 0"), df).collect()))
     monkeypatch.setattr(topk_norm, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(topk_norm, "SEED_ROWS", 40)
     assert sorted(map(tuple, topk_norm.norm_bucket_topk(df.where("vec_id % 5 = 0"), df).collect())) == whole
 
 
+def test_topk_skips_short_buckets(spark, monkeypatch):
+    """A block reads no bucket that is too short for all of its queries; within one, queries are pruned by coordinates or lengths."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * (3.0 if i % 100 == 0 else 0.02)]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    pool = topk_norm.in_buckets(df)
+    buckets = sorted(((r.longest, r.shortest, r.n) for r in pool.groupBy("bucket").agg(F.max("length").alias("longest"), F.min("length").alias("shortest"), F.count("*").alias("n")).collect()), reverse=True)
+    assert sum(b[2] for b in buckets) == 6000 and all(a[1] >= b[0] for a, b in zip(buckets, buckets[1:])) and max(b[2] for b in buckets) <= topk_norm.BUCKET_ROWS
+    seen, was = [], topk_norm._pass
+    monkeypatch.setattr(topk_norm, "_pass", lambda pool, ask, k, need: seen.append((need, len(buckets), sum(b[0] >= need for b in buckets))) or was(pool, ask, k, need))
+    out = topk_norm.norm_bucket_topk(df.where("vec_id % 300 = 7"), df).count()
+    assert out == 100 and len(seen) == 1 and seen[0][2] <= 2 < seen[0][1] - 8
+
+
 def test_perspectives(spark):
     rng = random.Random(1)
     rows = [(c, t, r, x, 0) for c in (1, 2, None) for t, r, x in [(0, "ann", "hi"), (1, "bob", "héllo\n"), (1, "bob", "héllo\n"), (2, None, None), (None, "cy", "早"), (3, "system", "be kind"), (4, "x|>\n<|y", "so <|assistant|x|> said")]]

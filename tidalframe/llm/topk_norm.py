@@ -1,21 +1,27 @@
-"""Exact top-k inner-product search with norm buckets and local cosine thresholds."""
+"""Exact top-k inner-product search with norm buckets and local cosine thresholds.
 
-from __future__ import annotations
+The table is dealt out once by length and written in that order, in buckets of
+BUCKET_ROWS rows of like length. Queries get first thresholds from the longest
+vectors; those that need like lengths form a block, and a block reads no bucket
+that is too short for all of its queries.
+"""
 
-import math
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import stage, unstage
 
-QUERY_BLOCK = 4096  # queries sent to the tasks at once: a bound, not a cap; further blocks follow
+QUERY_BLOCK = 1 << 13  # queries sent to the tasks at once: a bound, not a cap; further blocks follow
 SEED_ROWS = 1024  # longest vectors, from which the first thresholds come
-BUCKET_ROWS = 512
+BUCKET_ROWS = 1 << 9
 COORDINATE_FROM = 0.6  # local cosine threshold from which coordinates prune better than lengths
 FOCUS = 3
+GROUP = 256  # queries of like thresholds that are pruned together
+_SLACK = 1 + 1e-9
 
 
 def _ints(values: np.ndarray) -> np.ndarray:
@@ -61,45 +67,48 @@ class _Best:
         return self.held[0]
 
 
-def _scan(best: _Best, q: np.ndarray, qid: np.ndarray, p: np.ndarray, pid: np.ndarray) -> None:
-    """Brings the rows p into best, bucket by bucket in order of length."""
-    norm = np.sqrt((p * p).sum(1))
-    order = np.argsort(-norm, kind="stable")
-    p, pid, norm = p[order], pid[order], norm[order]
+def needs(theta: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The length from which a vector can reach each query's score; -1 where any may."""
+    return np.where((theta > 0) & (length > 0), theta / np.where(length > 0, length, 1) / _SLACK, -1.0)
+
+
+def _scan(best: _Best, q: np.ndarray, qid: np.ndarray, b: np.ndarray, bid: np.ndarray, bn: np.ndarray) -> None:
+    """Brings one bucket into best: rows b with ids bid and lengths bn, longest first."""
     qn = np.sqrt((q * q).sum(1))
-    unit_q = q / np.where(qn > 0, qn, 1)[:, None]
-    focus = np.argsort(-np.abs(unit_q), axis=1)[:, :FOCUS]
-    slack = 1 + 1e-9
-    for at in range(0, len(p), BUCKET_ROWS):
-        b, bid, bn = p[at : at + BUCKET_ROWS], pid[at : at + BUCKET_ROWS], norm[at : at + BUCKET_ROWS]
-        best.squeeze()
-        reach = qn * bn[0] * slack
-        local = np.where(best.theta > 0, best.theta / np.where(reach > 0, reach, 1e-30), np.where(best.theta < 0, -1.0, 0.0))
-        live = np.flatnonzero(local <= 1)  # by Cauchy-Schwarz no row of the bucket helps the others
-        by_place = live[local[live] >= COORDINATE_FROM] if q.shape[1] > FOCUS and bn[0] > 0 else live[:0]
-        by_length = np.setdiff1d(live, by_place, assume_unique=True)
-        if by_length.size:
-            # rows as long as the least demanding query asks for
-            need = np.where(best.theta[by_length] > 0, best.theta[by_length] / np.where(qn[by_length] > 0, qn[by_length], 1e-30) / slack, -1).min()
-            n = int(np.searchsorted(-bn, -need, side="right")) if need > 0 else len(b)
-            s = _products(q[by_length], b[:n])
-            x, y = np.nonzero((s >= best.theta[by_length, None]) & (qid[by_length, None] != bid[None, :n]))
-            best.add(by_length[x], s[x, y], bid[y])
-        if by_place.size:
-            unit = b / np.where(bn > 0, bn, 1)[:, None]
-            t = np.clip(local[by_place] / slack**2, 0, 1)[:, None]
-            ok = np.ones((by_place.size, len(b)), dtype=bool)
+    best.squeeze()
+    reach = qn * bn[0] * _SLACK
+    local = np.where(best.theta > 0, best.theta / np.where(reach > 0, reach, 1e-30), np.where(best.theta < 0, -1.0, 0.0))
+    live = np.flatnonzero(local <= 1)  # by Cauchy-Schwarz no row of the bucket helps the others
+    live = live[np.argsort(-local[live], kind="stable")]
+    split = int(np.searchsorted(-local[live], -COORDINATE_FROM, side="right")) if q.shape[1] > FOCUS and bn[0] > 0 else 0
+    for at in range(split, len(live), GROUP):  # by length: rows as long as the least demanding of the group asks for
+        g = live[at : at + GROUP]
+        need = needs(best.theta[g], qn[g]).min()
+        n = int(np.searchsorted(-bn, -need, side="right")) if need > 0 else len(b)
+        if n:
+            s = _products(q[g], b[:n])
+            x, y = np.nonzero((s >= best.theta[g, None]) & (qid[g, None] != bid[None, :n]))
+            best.add(g[x], s[x, y], bid[y])
+    if split:
+        unit_b = b / np.where(bn > 0, bn, 1)[:, None]
+        for at in range(0, split, GROUP):
+            g = live[at : min(split, at + GROUP)]
+            unit_q = q[g] / np.where(qn[g] > 0, qn[g], 1)[:, None]
+            focus = np.argsort(-np.abs(unit_q), axis=1)[:, :FOCUS]
+            t = np.clip(local[g] / _SLACK**2, 0, 1)[:, None]
+            ok = np.ones((len(g), len(b)), dtype=bool)
             for f in range(FOCUS):  # where a row's coordinate must lie for its cosine to reach t
-                c = focus[by_place, f]
-                u = unit_q[by_place, c][:, None]
+                c = focus[:, f]
+                u = unit_q[np.arange(len(g)), c][:, None]
                 mid, half = u * t, np.sqrt((1 - t * t) * np.maximum(0, 1 - u * u)) + 1e-7
-                g = unit[:, c].T
-                ok &= (g >= mid - half) | (u < -t)
-                ok &= (g <= mid + half) | (u > t)
+                v = unit_b[:, c].T
+                ok &= (v >= mid - half) | (u < -t)
+                ok &= (v <= mid + half) | (u > t)
             rows = np.flatnonzero(ok.any(0))
-            s = _products(q[by_place], b[rows])
-            x, y = np.nonzero(ok[:, rows] & (s >= best.theta[by_place, None]) & (qid[by_place, None] != bid[rows][None]))
-            best.add(by_place[x], s[x, y], bid[rows[y]])
+            if rows.size:
+                s = _products(q[g], b[rows])
+                x, y = np.nonzero(ok[:, rows] & (s >= best.theta[g, None]) & (qid[g, None] != bid[rows][None]))
+                best.add(g[x], s[x, y], bid[rows[y]])
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -121,51 +130,84 @@ def _by_dimension(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _length(column: str):
+    """Length of the whole-number vector of an array<double> column."""
+    return F.sqrt(F.aggregate(column, F.lit(0.0), lambda a, x: a + F.floor(x * 256).cast("double") * F.floor(x * 256).cast("double")))
+
+
+def in_buckets(vectors: DataFrame) -> DataFrame:
+    """The usable vectors as a written table (bucket, length, vec_id, embedding), dealt out and sorted by length, longest first."""
+    rows = _usable(vectors).withColumn("length", _length("embedding"))
+    rows = rows.repartitionByRange(F.col("length").desc(), "vec_id").sortWithinPartitions(F.col("length").desc(), "vec_id")
+    return stage(rows.select(F.shiftright(F.monotonically_increasing_id(), 9).alias("bucket"), "length", "vec_id", "embedding"), "buckets")
+
+
 def norm_bucket_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products over vectors of its dimension.
 
     Both tables hold vec_id and embedding; components count as floor(256 * x).
     A row never matches a query of its own vec_id. Ties go to the smaller vec_id.
-    Within each task rows are ordered by length and cut into buckets; a query's
-    score to reach, over its length and the bucket's largest, is the bucket's
-    cosine threshold: above 1 the bucket is passed over, from
-    ``COORDINATE_FROM`` on the query's largest coordinates bound where a row's
-    may lie, else lengths alone prune; what is left is multiplied out exactly.
-    The vectors are read once for each block of queries and never shuffled;
-    tasks return k rows a query.
+
+    Vectors are shuffled once, by length, into buckets over the whole table
+    (in_buckets). A query's score to reach, from the SEED_ROWS longest vectors at
+    first, over its length is the length that it needs; queries in order of that
+    length form blocks of QUERY_BLOCK, and a block's scan starts with a filter on
+    length, so that shorter buckets aren't read. Within a bucket, the score to
+    reach over the query's length and the bucket's largest is the local cosine
+    threshold: above 1 the bucket is passed over, from ``COORDINATE_FROM`` on the
+    query's largest coordinates bound where a row's may lie, else lengths prune;
+    queries of like thresholds are pruned together, and what is left is
+    multiplied out exactly. Tasks return k rows a query.
 
     Null ids, null vectors and vectors holding null or non-finite components
     take no part. Repeated rows of vectors each count; repeated query ids count
     once (the least vector). Fewer than k candidates: all. Empty tables: no rows.
-    Extra columns are ignored.
+    Very long vectors are whole rows of a batch. Extra columns are ignored.
     """
     spark = vectors.sparkSession
-    pool = _usable(vectors)
-    asked = _usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n = asked.count()
-    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.floor(x * 256).cast("double") * F.floor(x * 256).cast("double"))
-    blocks = max(1, math.ceil(n / QUERY_BLOCK))
-    if blocks > 1:
-        asked = stage(asked, "queries")
-    seeds = pool.orderBy(length.desc(), "vec_id").limit(SEED_ROWS).toArrow() if n else None
+    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    pool = in_buckets(vectors)
+    seeds = pool.orderBy(F.col("length").desc(), "vec_id").limit(SEED_ROWS).select("vec_id", "embedding").toArrow()
+    seeds = {d: (_ints(m), seeds.column("vec_id").to_numpy()[rows]) for d, (rows, m) in _by_dimension(seeds.column("embedding")).items()} if seeds.num_rows else {}
+
+    def thresholds(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            theta, need = np.full(len(ids), -np.inf), np.full(len(ids), -1.0)
+            for d, (rows, m) in _by_dimension(b.column(1)).items():
+                if d in seeds:
+                    s, sid = seeds[d]
+                    best = _Best(np.full(len(rows), -np.inf), k)
+                    for at in range(0, len(s), BUCKET_ROWS):
+                        part = s[at : at + BUCKET_ROWS]
+                        _scan(best, _ints(m), ids[rows], part, sid[at : at + BUCKET_ROWS], np.sqrt((part * part).sum(1)))
+                    best.squeeze()
+                    theta[rows], need[rows] = best.theta, needs(best.theta, np.sqrt((_ints(m) ** 2).sum(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(theta), pa.array(need)], ["vec_id", "embedding", "theta", "need"])
+
+    asked = _usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(thresholds, "vec_id bigint, embedding array<double>, theta double, need double")
+    asked = asked.repartitionByRange(F.col("need").desc(), "vec_id").sortWithinPartitions(F.col("need").desc(), "vec_id")
+    asked = stage(asked.select(F.floor(F.monotonically_increasing_id() / QUERY_BLOCK).alias("block"), "vec_id", "embedding", "theta", "need"), "queries")
+    blocks = asked.groupBy("block").agg(F.count("*").alias("n"), F.min("need").alias("need")).orderBy(F.col("need").desc(), "block").collect()
+    joined, size = [], 0  # blocks that range partitions have left small go together
+    for r in blocks:
+        if not joined or size + r.n > QUERY_BLOCK:
+            joined.append([])
+            size = 0
+        joined[-1].append(r)
+        size += r.n
     results = []
-    for block in range(blocks):
-        got = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow() if n else None
-        if got is None or not got.num_rows:
-            continue
-        ask = {}
-        for d, (rows, m) in _by_dimension(got.column("embedding")).items():
-            ids = got.column("vec_id").to_numpy()[rows]
-            start = _Best(np.full(len(ids), -np.inf), k)
-            if (s := _by_dimension(seeds.column("embedding")).get(d)) is not None:
-                _scan(start, _ints(m), ids, _ints(s[1]), seeds.column("vec_id").to_numpy()[s[0]])
-                start.squeeze()
-            ask[d] = ids, _ints(m), start.theta
-        results.append(_pass(pool, ask, k))
-    if not results:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    for part in joined:
+        got = asked.where(F.col("block").isin([r.block for r in part])).toArrow()
+        ask = {d: (got.column("vec_id").to_numpy()[rows], _ints(m), got.column("theta").to_numpy()[rows]) for d, (rows, m) in _by_dimension(got.column("embedding")).items()}
+        results.append(_pass(pool, ask, k, min(r.need for r in part)))
     if len(results) > 1:
         results = [stage(r, "topk") for r in results]
+        unstage(pool)
+    unstage(asked)
+    if not results:
+        unstage(pool)
+        return empty
     out = results[0]
     for r in results[1:]:
         out = out.union(r)
@@ -173,21 +215,26 @@ def norm_bucket_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> Data
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _pass(pool: DataFrame, ask: dict, k: int) -> DataFrame:
+def _pass(pool: DataFrame, ask: dict, k: int, need: float) -> DataFrame:
+    """The k best of each query in each task, over the buckets of vectors of length ``need`` or more."""
+
     def run(batches):
         best = {d: _Best(theta, k) for d, (_, _, theta) in ask.items()}
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for d, (rows, m) in _by_dimension(b.column(1)).items():
-                if d in ask:
-                    qid, q, _ = ask[d]
-                    _scan(best[d], q, qid, _ints(m), ids[rows])
+            bucket, length, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+            for at, end in zip(starts, [*starts[1:], len(bucket)]):
+                for d, (rows, m) in _by_dimension(b.column(3).slice(at, end - at)).items():
+                    if d in ask:
+                        qid, q, _ = ask[d]
+                        _scan(best[d], q, qid, _ints(m), ids[at:end][rows], length[at:end][rows])
         for d, have in best.items():
             q, s, i = have.squeeze()
             if q.size:
                 yield pa.RecordBatch.from_arrays([pa.array(ask[d][0][q]), pa.array(i), pa.array(s.astype(np.int64)), pa.array(np.arange(q.size, dtype=np.int64))], ["query_id", "vec_id", "score", "copy"])
 
-    return pool.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, copy bigint")
+    reached = pool.where(F.col("length") >= need) if need > 0 else pool
+    return reached.select("bucket", "length", "vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, copy bigint")
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
