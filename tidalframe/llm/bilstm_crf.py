@@ -141,6 +141,21 @@ class BiLstmCrf:
         t = self.p["t"].astype(np.float64)
         return np.array([(t[:, k] - t[:, 0]).max() + (t[k] - t[0]).max() for k in range(1, len(t))])
 
+    def may_gain(self, em: np.ndarray, begin: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which places of stretches (starting at begin) lie in a run of tags whose bound on its gain over none isn't negative: the largest sum over a run through the place."""
+        t = self.p["t"].astype(np.float64)
+        t = t - t[0, 0]
+        enter, leave, stay = t[0, 1:].max(), t[1:, 0].max(), t[1:, 1:].max()
+        d = em[:, 1:].max(1) - em[:, 0] + stay
+        d = d + first * max(0.0, -enter) + last * max(0.0, -leave)  # no transition leads into or out of a text
+        wall = np.zeros(len(d))
+        wall[begin] = 1e5 + np.abs(d).max()  # no run crosses from stretch to stretch
+        total = np.cumsum(d - wall)
+        before = total - d  # just inside the wall
+        into = total - np.minimum.accumulate(before)
+        onward = np.maximum.accumulate(total[::-1])[::-1] - before
+        return into + onward - d + enter + leave - stay > -1e-2
+
     def search(self, em: np.ndarray, lengths: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Best tags of stretches of places between places tagged none; stretches one after another in em (places, tags).
 
@@ -294,31 +309,36 @@ def tag_texts(net: BiLstmCrf, texts: list[str]) -> list[np.ndarray]:
     """Tags of every character of whole texts: the best path of each text as a whole, over the reconciled emissions of its windows.
 
     A place where none beats each tag by more than the transitions about it can
-    add is none on the best path, whatever lies beside it. So the search runs
-    over the stretches between such places only, and is that of the whole text.
+    add is none on the best path, whatever lies beside it; so is a place in no
+    run of tags that could gain on none. The search runs over the stretches
+    between such places only, and finds the path of the whole text.
     """
     offset = np.cumsum([0, *map(len, texts)])
     tags = np.zeros(offset[-1], np.uint8)
+    ends = np.zeros(offset[-1] + 1, bool)
+    ends[offset] = True  # where a text starts, and the last one ends
     gain = net.gains() + 1e-3
     places, kept = [np.empty(0, np.int64)], [np.empty((0, len(KINDS) + 1))]
     for at, em in reconciled(net, texts):
-        open_ = (em[:, 1:] + gain > em[:, :1]).any(1)
+        open_ = (em[:, 1:].max(1) + gain.max() > em[:, 0]).nonzero()[0]
+        open_ = open_[(em[open_, 1:] + gain > em[open_, :1]).any(1)]
         places.append(at[open_])
         kept.append(em[open_].astype(np.float64))
     places, kept = np.concatenate(places), np.concatenate(kept)
+    starts = lambda p: np.flatnonzero(np.concatenate([[True], (np.diff(p) > 1) | ends[p[1:]]])) if p.size else np.empty(0, np.int64)
+    if places.size:
+        may = net.may_gain(kept, starts(places), ends[places], ends[places + 1])
+        places, kept = places[may], kept[may]
     if places.size:
-        ends = np.zeros(offset[-1] + 1, bool)
-        ends[offset] = True  # where a text starts, and the last one ends
-        cut = np.concatenate([[True], (np.diff(places) > 1) | ends[places[1:]]])
-        begin = np.flatnonzero(cut)
+        begin = starts(places)
         lengths = np.diff(np.append(begin, places.size))
         tags[places] = net.search(kept, lengths, ends[places[begin]], ends[places[begin + lengths - 1] + 1])
     return [tags[a:b] for a, b in zip(offset, offset[1:])]
 
 
-_AT = r"(?:@|\bat\b|_at_)"
-_DOT = r"(?:\.|\bdot\b|_dot_)"
-_EMAIL = re.compile(rf"\w.*{_AT}.*\w.*{_DOT}.*\w", re.I | re.S)
+_AT = re.compile(r"@|\bat\b|_at_", re.I)
+_DOT = re.compile(r"\.|\bdot\b|_dot_", re.I)
+_WORD = re.compile(r"\w")
 _LETTERS = re.compile(r"[^\W\d_]")
 
 
@@ -326,7 +346,10 @@ def plausible(kind: int, span: str) -> bool:
     """Whether a tagged run can be of its kind: an email names its @ and a dot after it, an address has four parts of at most 255, the others hold no letters and as many digits as their kind has."""
     digits = "".join(_DIGIT.findall(span))
     if kind == 0:
-        return _EMAIL.search(span) is not None
+        first = _WORD.search(span)
+        at = _AT.search(span, first.end()) if first else None
+        dots = list(_DOT.finditer(span, at.end())) if at else ()
+        return bool(dots) and _WORD.search(span, at.end(), dots[-1].start()) is not None and _WORD.search(span, dots[-1].end()) is not None
     if kind == 1:
         parts = re.findall("[0-9]+", span)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not _LETTERS.search(re.sub(r"\bdot\b", "", span, flags=re.I))
