@@ -89,3 +89,22 @@ def one_hot(c: Column, name: str, values: list) -> dict[str, Column]:
 
 def is_holiday(ts: Column, dates: list[str]) -> Column:
     return F.to_date(ts).isin(*[F.lit(d).cast("date") for d in dates])
+
+
+def remap(column: Column, values: dict) -> Column:
+    """Values exchanged by a mapping; those that it doesn't hold stay."""
+    out = column
+    for old, new in values.items():
+        out = F.when(column == F.lit(old), F.lit(new)).otherwise(out)
+    return out
+
+
+def weekend_masks(ts: Column) -> dict[str, Column]:
+    """Whether a time lies on Saturday or Sunday, or on another day: conditions of weekly seasons of their own."""
+    weekend = F.weekday(ts) > 4
+    return {"weekend_mask": weekend, "workday_mask": ~weekend}
+
+
+def powers(column: Column, degree: int) -> dict[str, Column]:
+    """The column to each whole power from 2 up to ``degree``."""
+    return {f"power_{n}": F.pow(column, F.lit(n)) for n in range(2, degree + 1)}

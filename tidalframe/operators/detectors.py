@@ -149,6 +149,13 @@ def alerts(scores: DataFrame, low: float = -2.0, high: float = 2.0, window_secon
     return g.select(ID, "start", "end", "points", "volume", F.coalesce(divide(F.col("volume"), F.col("seconds")), F.lit(0.0)).alias("height"), "magnitude")
 
 
+def overall_severity(alerts: DataFrame) -> DataFrame:
+    """One row a series of alert intervals: their number, volume, duration in seconds, height averaged over time and greatest magnitude."""
+    seconds = F.sum((F.unix_micros("end") - F.unix_micros("start")) / 1e6)
+    g = alerts.groupBy(ID).agg(F.count("*").alias("alerts"), F.sum("volume").alias("volume"), seconds.alias("duration"), F.max("magnitude").alias("magnitude"))
+    return g.select(ID, "alerts", "volume", "duration", F.coalesce(divide(F.col("volume"), F.col("duration")), F.lit(0.0)).alias("height"), "magnitude")
+
+
 def classify_alerts(series: DataFrame, intervals: DataFrame, volatility: float = 2.0, level: float = 1.5) -> DataFrame:
     """Type of each interval: outlier (fewer than 5 points), level shift, volatility or trend change, other: from regressions inside and before it."""
     i = intervals.select(F.col(ID).alias("_id"), "start", "end")

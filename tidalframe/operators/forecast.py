@@ -28,10 +28,12 @@ def _step(series: DataFrame) -> DataFrame:
 
 
 def _t_column(df, alpha: float):
-    """Student's quantile by Cornish-Fisher's series in 1 / df: exact to 1e-4 from df 10 on."""
+    """Student's quantile: its exact value for fewer than 30 degrees of freedom, from there on Cornish-Fisher's series in 1 / df."""
     z = K.norm_ppf(1 - alpha / 2)
     g = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
-    return F.lit(z) + g[0] / df + g[1] / F.pow(df, 2) + g[2] / F.pow(df, 3) + g[3] / F.pow(df, 4)
+    small = F.array(*[F.lit(K.t_ppf(1 - alpha / 2, n)) for n in range(1, 30)])
+    series = F.lit(z) + g[0] / df + g[1] / F.pow(df, 2) + g[2] / F.pow(df, 3) + g[3] / F.pow(df, 4)
+    return F.when(df < 30, F.get(small, F.greatest(df.cast("int") - 1, F.lit(0)))).otherwise(series)
 
 
 def linear(series: DataFrame, steps: int, alpha: float = 0.05) -> DataFrame:

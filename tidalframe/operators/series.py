@@ -111,6 +111,17 @@ def combine(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
     return j.select(F.coalesce(ID, "_id").alias(ID), F.coalesce(TS, "_ts").alias(TS), v.alias(VALUE))
 
 
+def combine_scalar(series: DataFrame, op: str, number: float) -> DataFrame:
+    """Arithmetic (add, sub, mul, div) of every value with one number; null where it would divide by zero."""
+    v, n = F.col(VALUE), F.lit(float(number))
+    return series.select(ID, TS, {"add": lambda: v + n, "sub": lambda: v - n, "mul": lambda: v * n, "div": lambda: divide(v, n)}[op]().alias(VALUE))
+
+
+def melt(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """(series_id, ts, variable, value): one row for each of the columns of a wide frame."""
+    return frame.unpivot([ID, TS], columns, "variable", VALUE)
+
+
 def same(a: DataFrame, b: DataFrame, digits: int = 6) -> DataFrame:
     """(series_id, differing): rows of either side without an equal, values rounded, on the other."""
     r = lambda d: d.select(ID, TS, F.round(VALUE, digits).alias(VALUE))

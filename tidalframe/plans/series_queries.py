@@ -500,3 +500,27 @@ e AS (SELECT series_id, ts, i, value AS a, CAST(1 AS DOUBLE) AS w, value AS b, v
     e.c * (2 / 3.0) + (e.b * (2 / 3.0) + (e.a * (2 / 3.0) + n.value) / (e.w * (2 / 3.0) + 1)) / (e.w * (2 / 3.0) + 1), (e.c * (2 / 3.0) + (e.b * (2 / 3.0) + (e.a * (2 / 3.0) + n.value) / (e.w * (2 / 3.0) + 1)) / (e.w * (2 / 3.0) + 1)) / (e.w * (2 / 3.0) + 1) FROM e JOIN n ON n.series_id = e.series_id AND n.i = e.i + 1)
 SELECT series_id, ts, round(coalesce((t - lag(t) OVER w) / nullif(lag(t) OVER w, 0), 0), 6) + 0.0 AS trix FROM e WINDOW w AS (PARTITION BY series_id ORDER BY ts)""",
 )(lambda s, d: I.exploded(S.to_arrays(daily_events(s, d)), {"trix": I.trix_array(F.col("values"), 5)}))
+
+for _op, _sign in (("add", "+"), ("sub", "-"), ("mul", "*"), ("div", "/")):
+    query(f"scalar_{_op}", f"SELECT series_id, ts, round(value {_sign} 2.5, 6) AS value FROM {{D}}")(lambda s, d, o=_op: S.combine_scalar(daily_events(s, d), o, 2.5))
+query("melted", "SELECT series_id, ts, unnest(['y', 'fcst']) AS variable, round(unnest([y, fcst]), 6) AS value FROM {F}")(lambda s, d: S.melt(naive_forecasts(s, d), ["y", "fcst"]))
+query("remapped", "SELECT series_id, ts, CASE series_id WHEN 'click' THEN 'tap' WHEN 'error' THEN 'fault' ELSE series_id END AS name, CASE dayofweek(ts) WHEN 0 THEN 7 ELSE dayofweek(ts) END AS weekday FROM {D}")(
+    lambda s, d: daily_events(s, d).select(ID, TS, C.remap(F.col(ID), {"click": "tap", "error": "fault"}).alias("name"), C.remap(F.weekday(TS) + 1, {}).cast("bigint").alias("weekday"))
+)
+query("weekend_masks", "SELECT series_id, ts, isodow(ts) > 5 AS weekend_mask, isodow(ts) <= 5 AS workday_mask FROM {D}")(lambda s, d: daily_events(s, d).select(ID, TS, *[c.alias(n) for n, c in C.weekend_masks(F.col(TS)).items()]))
+query("powers", "SELECT series_id, ts, round(pow(value, 2), 6) AS power_2, round(pow(value, 3), 6) AS power_3 FROM {D}")(lambda s, d: daily_events(s, d).select(ID, TS, *[c.alias(n) for n, c in C.powers(F.col(VALUE), 3).items()]))
+query(
+    "overall_severity",
+    f"""SELECT series_id, count(*) AS alerts, round(sum(volume), 6) AS volume, round(sum(seconds), 6) AS duration, round(coalesce(sum(volume) / nullif(sum(seconds), 0), 0), 6) AS height, round(max(magnitude), 6) AS magnitude FROM (
+  SELECT series_id, r, coalesce(sum(o * sec), 0) AS volume, coalesce(sum(sec), 0) AS seconds, max(o / 2) AS magnitude FROM (
+  SELECT *, sum(f) OVER {W} AS r FROM (SELECT *, epoch(lead(ts) OVER {W}) - epoch(ts) AS sec, CASE WHEN hit = lag(hit) OVER {W} THEN 0 ELSE 1 END AS f FROM (
+    SELECT *, CASE WHEN score > 2 THEN score - 2 WHEN score < -2 THEN -2 - score ELSE 0 END AS o, (score > 2 OR score < -2) AND ts >= min(ts) OVER (PARTITION BY series_id) + INTERVAL 1 SECOND AS hit FROM (
+      SELECT series_id, ts, coalesce(CASE WHEN count(*) {_P7} >= 7 THEN CASE WHEN stddev_pop(value) {_P7} = 0 THEN 0 ELSE (value - avg(value) {_P7}) / stddev_pop(value) {_P7} END END, 0) AS score FROM {{D}})))) WHERE hit GROUP BY series_id, r) GROUP BY series_id""",
+)(lambda s, d: D.overall_severity(D.alerts(D.rolling_detector(daily_events(s, d), 7))))
+for _kind, _sql in (("proportion", "p * (1 - p) / n"), ("count", "p / n"), ("arrival", "p * p / n")):
+    query(f"variance_{_kind}", f"SELECT series_id, ts, round({_sql}, 6) AS variance FROM (SELECT event_type AS series_id, date_trunc('day', ts) AS ts, avg(CASE WHEN value > 100 THEN 1.0 ELSE 0.0 END) AS p, count(*) AS n FROM events GROUP BY ALL)")(
+        lambda s, d, k=_kind: s.read.parquet(f"{d}/events.parquet")
+        .groupBy(F.col("event_type").alias(ID), F.date_trunc("day", "ts").alias(TS))
+        .agg(F.avg(F.when(F.col("value") > 100, 1.0).otherwise(0.0)).alias("p"), F.count("*").alias("n"))
+        .select(ID, TS, D.VARIANCE[k](F.col("p"), F.lit(0.0), F.col("n")).alias("variance"))
+    )

@@ -99,8 +99,12 @@ def two_sample(n_control: int, n_test: int):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tidalframe-shared")
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); where it is unset, a local one if Spark is local too, else an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + os.path.join(tempfile.gettempdir(), "tidalframe-shared")
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
