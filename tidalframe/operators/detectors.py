@@ -305,22 +305,36 @@ def dtw_anomalies(series: DataFrame, window: int, skip: int, mad_threshold: floa
 
 
 def distribution_distance(percentiles: DataFrame, columns: list[str], window_seconds: int) -> DataFrame:
-    """Jensen-Shannon distance, base 2, of each row's gaps between percentiles from those a window ago; 0 until there is one."""
+    """Jensen-Shannon distance, base 2, of each row's percentiles from those a window ago; 0 until there is one.
+
+    Each of the n percentiles has mass 1 / n, equal ones together. The side with
+    more different values is the grid (the older one, if both have as many); the
+    other's cumulative function, linear from value to value by 1 / n, gives its
+    masses there. Null where the other has no mass on the grid.
+    """
     w = Window.partitionBy(ID).orderBy(F.unix_micros(TS)).rangeBetween(-window_seconds * 1_000_000, 0)
-    old = F.first(F.struct(TS, *columns)).over(w)
-    s = percentiles.withColumn("_old", old)
-    gaps = lambda get: [F.greatest(get(b) - get(a), F.lit(1e-9)) for a, b in zip(columns, columns[1:])]
-    # equal masses lie between percentiles: densities are inverse gaps
-    dens = lambda g: [1 / x for x in g]
-    p, q = dens(gaps(F.col)), dens(gaps(lambda c: F.col(f"_old.{c}")))
-    sp, sq = sum(p[1:], p[0]), sum(q[1:], q[0])
-    js = F.lit(0.0)
-    for a, b in zip(p, q):
-        a, b = a / sp, b / sq
-        m = (a + b) / 2
-        js = js + 0.5 * (a * F.log2(a / m) + b * F.log2(b / m))
-    span = (F.unix_micros(TS) - F.unix_micros(F.col(f"_old.{TS}"))) / 1e6
-    return s.select(ID, TS, F.when(span > 0.9 * window_seconds, F.sqrt(F.greatest(js, F.lit(0.0)))).otherwise(0.0).alias("score"))
+    n = len(columns)
+    s = percentiles.withColumn("_old", F.first(F.struct(TS, *columns)).over(w))
+    s = s.select(ID, TS, F.col(f"_old.{TS}").alias("_from"), F.array(*[F.col(f"_old.{c}").cast("double") for c in columns]).alias("_a"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_b"))
+    longer = F.size(F.array_distinct("_a")) >= F.size(F.array_distinct("_b"))
+    s = s.select(ID, TS, "_from", F.when(longer, F.col("_a")).otherwise(F.col("_b")).alias("_g"), F.when(longer, F.col("_b")).otherwise(F.col("_a")).alias("_o"))
+    s = s.withColumn("_grid", F.array_distinct("_g")).withColumn("_steps", F.array_distinct("_o"))
+    at_most = lambda values, x: F.size(F.filter(values, lambda v: v <= x))
+
+    def below(x):
+        j = at_most(F.col("_steps"), x)
+        step = F.try_divide(x - F.get("_steps", j - 1), F.get("_steps", j) - F.get("_steps", j - 1))
+        return F.when(j == F.size("_steps"), F.lit(1.0)).when(j == 0, F.lit(0.0)).otherwise(at_most(F.col("_o"), x) / n + step / n)
+
+    s = s.withColumn("_cdf", F.transform("_grid", below))
+    s = s.withColumn("_p", F.transform("_grid", lambda x: F.size(F.filter("_g", lambda v: v == x)) / n)).withColumn("_q", F.transform("_cdf", lambda x, i: x - F.coalesce(F.get("_cdf", i - 1), F.lit(0.0))))
+    mass = F.aggregate("_q", F.lit(0.0), lambda acc, x: acc + x)
+    s = s.withColumn("_m", mass).withColumn("_q", F.transform("_q", lambda x: F.try_divide(x, F.col("_m"))))
+    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+    js = F.aggregate(F.zip_with("_p", "_q", lambda p, q: 0.5 * (part(p, (p + q) / 2) + part(q, (p + q) / 2))), F.lit(0.0), lambda acc, x: acc + x)
+    span = (F.unix_micros(TS) - F.unix_micros("_from")) / 1e6
+    score = F.when(F.col("_m") > 0, F.sqrt(F.greatest(js, F.lit(0.0))))
+    return s.select(ID, TS, F.when(span > 0.9 * window_seconds, score).otherwise(0.0).alias("score"))
 
 
 def hourly_ratio(series: DataFrame) -> DataFrame:

@@ -332,7 +332,20 @@ def _wide_events(s, d):
 
 query("multivariate_cusum")(lambda s, d: D.multivariate_cusum(_wide_events(s, d)[0], _wide_events(s, d)[1]))
 query("multivariate_anomaly")(lambda s, d: D.multivariate_anomaly(*_wide_events(s, d), 20))
-query("distribution_distance")(
+query(
+    "distribution_distance",
+    """WITH r AS (SELECT event_type AS series_id, date_trunc('day', ts) AS ts, [quantile_cont(value, 0.05), quantile_cont(value, 0.25), quantile_cont(value, 0.5), quantile_cont(value, 0.75), quantile_cont(value, 0.95)] AS b FROM events GROUP BY ALL),
+o AS (SELECT *, first_value(ts) OVER w AS since, first_value(b) OVER w AS a FROM r WINDOW w AS (PARTITION BY series_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW)),
+d AS (SELECT series_id, ts, since, CASE WHEN len(list_distinct(a)) >= len(list_distinct(b)) THEN a ELSE b END AS g, CASE WHEN len(list_distinct(a)) >= len(list_distinct(b)) THEN b ELSE a END AS h FROM o),
+e AS (SELECT *, list_sort(list_distinct(g)) AS grid, list_sort(list_distinct(h)) AS steps FROM d),
+x AS (SELECT series_id, ts, since, g, h, steps, unnest(grid) AS x, unnest(range(1, len(grid) + 1)) AS i FROM e),
+j AS (SELECT *, len(list_filter(steps, lambda v: v <= x)) AS j, len(list_filter(h, lambda v: v <= x)) AS k, len(list_filter(g, lambda v: v = x)) / 5.0 AS p FROM x),
+c AS (SELECT *, CASE WHEN j = len(steps) THEN 1.0 WHEN j = 0 THEN 0.0 ELSE k / 5.0 + (x - steps[j]) / (steps[j + 1] - steps[j]) / 5.0 END AS c FROM j),
+q AS (SELECT *, c - coalesce(lag(c) OVER (PARTITION BY series_id, ts ORDER BY i), 0) AS q FROM c),
+m AS (SELECT *, q / nullif(sum(q) OVER (PARTITION BY series_id, ts), 0) AS u FROM q)
+SELECT series_id, ts, round(CASE WHEN epoch(ts) - epoch(since) > 0.9 * 7 * 86400 THEN CASE WHEN sum(q) > 0 THEN sqrt(greatest(sum(0.5 * (CASE WHEN p > 0 THEN p * log2(p / ((p + u) / 2)) ELSE 0 END + CASE WHEN u > 0 THEN u * log2(u / ((p + u) / 2)) ELSE 0 END)), 0)) END ELSE 0 END, 6) AS score
+FROM m GROUP BY series_id, ts, since""",
+)(
     lambda s, d: D.distribution_distance(s.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias(ID), F.date_trunc("day", "ts").alias(TS)).agg(*[F.percentile("value", F.lit(p / 100)).alias(f"p{p}") for p in (5, 25, 50, 75, 95)]), ["p5", "p25", "p50", "p75", "p95"], 7 * 86400)
 )
 
