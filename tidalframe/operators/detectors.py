@@ -156,17 +156,55 @@ def overall_severity(alerts: DataFrame) -> DataFrame:
     return g.select(ID, "alerts", "volume", "duration", F.coalesce(divide(F.col("volume"), F.col("duration")), F.lit(0.0)).alias("height"), "magnitude")
 
 
-def classify_alerts(series: DataFrame, intervals: DataFrame, volatility: float = 2.0, level: float = 1.5) -> DataFrame:
-    """Type of each interval: outlier (fewer than 5 points), level shift, volatility or trend change, other: from regressions inside and before it."""
-    i = intervals.select(F.col(ID).alias("_id"), "start", "end")
-    j = series.join(i, (F.col(ID) == F.col("_id")) & (F.col(TS) < F.col("end")))
-    x = F.unix_micros(TS) / 1e6
-    inside = F.col(TS) >= F.col("start")
-    on, off = F.when(inside, F.col(VALUE)), F.when(~inside, F.col(VALUE))
-    g = j.groupBy(ID, "start", "end").agg(F.count(on).alias("n"), F.avg(on).alias("m1"), F.avg(off).alias("m0"), F.stddev_pop(on).alias("s1"), F.stddev_pop(off).alias("s0"), F.regr_slope(on, x).alias("b1"), F.regr_slope(off, x).alias("b0"))
-    ratio = divide(F.col("m1"), F.col("m0"))
-    kind = F.when(F.col("n") < 5, "outlier").when((ratio >= level) | (ratio <= 1 / level), "level_shift").when(F.col("b1") * F.col("b0") < 0, "trend_change").when(divide(F.col("s1"), F.col("s0")) >= volatility, "volatility").otherwise("other")
-    return g.select(ID, "start", "end", kind.alias("type"))
+def classify_alerts(series: DataFrame, intervals: DataFrame, volatility: float = 2.0, level: float = 1.5, alpha: float = 0.05) -> DataFrame:
+    """What each interval (series_id, start, end: times of the series) shows; more than one may hold.
+
+    outlier: fewer than five points. level_shift: at the end or the start, what
+    lies before differs in mean from the rest (pooled t test at ``alpha``) and the
+    intercept of its line is not within a factor ``level`` of the whole series'.
+    trend_change: the slopes before the start and from the end on have opposite
+    signs. volatility_change: at the end or the start, deviations before and from
+    there on differ by a factor ``volatility``. Sides of one point decide nothing.
+
+    One sort of the series gives running sums from which every side's regression
+    follows; intervals join the two rows of their own times.
+    """
+    from .forecast import _t_column
+
+    w, whole = ordered(), Window.partitionBy(ID)
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    s = series.where(F.col(VALUE).isNotNull()).withColumn("i", (F.row_number().over(w) - 1).cast("double"))
+    terms = {"n": F.lit(1.0), "y": F.col(VALUE), "yy": F.col(VALUE) ** 2, "iy": F.col("i") * F.col(VALUE)}
+    sums = s.select(ID, TS, "i", *[F.coalesce(F.sum(c).over(past), F.lit(0.0)).alias(f"b_{k}") for k, c in terms.items()], *[F.sum(c).over(whole).alias(f"w_{k}") for k, c in terms.items()])
+    place = lambda name: sums.select(F.col(ID).alias(f"{name}_id"), F.col(TS).alias(f"{name}_ts"), F.struct("i", *[f"{side}_{k}" for side in "bw" for k in terms]).alias(name))
+    j = intervals.select(ID, "start", "end")
+    for name, at in (("p", "start"), ("q", "end")):
+        j = j.join(place(name), (F.col(ID) == F.col(f"{name}_id")) & (F.col(at) == F.col(f"{name}_ts")))
+
+    def side(row: str, part: str) -> dict[str, Column]:
+        g = {k: F.col(f"{row}.{part}_{k}") if part in "bw" else F.col(f"{row}.w_{k}") - F.col(f"{row}.b_{k}") for k in terms}
+        first = F.col(f"{row}.i") if part == "a" else F.lit(0.0)
+        middle = first + (g["n"] - 1) / 2
+        g["slope"] = divide(g["iy"] - middle * g["y"], g["n"] * (g["n"] * g["n"] - 1) / 12)
+        g["mean"] = divide(g["y"], g["n"])
+        g["intercept"] = g["mean"] - g["slope"] * middle
+        g["ss"] = F.greatest(g["yy"] - g["y"] * g["mean"], F.lit(0.0))
+        return g
+
+    shift, change = F.lit(False), F.lit(False)
+    for row in "qp":
+        x, y, all_ = side(row, "b"), side(row, "a"), side(row, "w")
+        enough = (x["n"] > 1) & (y["n"] > 1)
+        df = x["n"] + y["n"] - 2
+        error = F.sqrt((x["ss"] + y["ss"]) / df * (1 / x["n"] + 1 / y["n"]))
+        differs = F.abs(x["mean"] - y["mean"]) >= _t_column(df, alpha) * error
+        like = (x["intercept"] < level * all_["intercept"]) & (x["intercept"] > all_["intercept"] / level)
+        shift = shift | F.coalesce(enough & differs & ~like, F.lit(False))
+        a, b = F.sqrt(x["ss"] / x["n"]), F.sqrt(y["ss"] / y["n"])
+        change = change | F.coalesce(enough & ((a >= volatility * b) | (a <= b / volatility)), F.lit(False))
+    x, y = side("p", "b"), side("q", "a")
+    trend = F.coalesce((x["n"] > 1) & (y["n"] > 1) & (x["slope"] * y["slope"] < 0), F.lit(False))
+    return j.select(ID, "start", "end", (F.col("q.i") - F.col("p.i") < 5).alias("outlier"), shift.alias("level_shift"), trend.alias("trend_change"), change.alias("volatility_change"))
 
 
 # ---- kernels by series -----------------------------------------------------------------------

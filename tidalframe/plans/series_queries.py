@@ -301,7 +301,25 @@ query(
     SELECT *, CASE WHEN score > 2 THEN score - 2 WHEN score < -2 THEN -2 - score ELSE 0 END AS o, CASE WHEN score > 2 THEN score - 2 WHEN score < -2 THEN -2 - score ELSE 0 END / 2 AS share, (score > 2 OR score < -2) AND ts >= min(ts) OVER (PARTITION BY series_id) + INTERVAL 1 SECOND AS hit FROM (
       SELECT series_id, ts, coalesce(CASE WHEN count(*) {_P7} >= 7 THEN CASE WHEN stddev_pop(value) {_P7} = 0 THEN 0 ELSE (value - avg(value) {_P7}) / stddev_pop(value) {_P7} END END, 0) AS score FROM {{D}})))) WHERE hit GROUP BY series_id, r""",
 )(lambda s, d: D.alerts(D.rolling_detector(daily_events(s, d), 7)))
-query("alert_types")(lambda s, d: D.classify_alerts(daily_orders(s, d), D.alerts(D.rolling_detector(daily_orders(s, d), 30), -3, 3)))
+_Z = K.norm_ppf(0.975)
+_T = f"({_Z} + {(_Z**3 + _Z) / 4} / df + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96} / df**2 + {(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384} / df**3)"  # the 0.975 quantile of Student's t
+_SIDES = """SELECT a.series_id, a.start, a."end", '{at}' AS edge, count(*) FILTER (s.ts < a."{at}") AS n0, count(*) FILTER (s.ts >= a."{at}") AS n1, avg(value) FILTER (s.ts < a."{at}") AS m0, avg(value) FILTER (s.ts >= a."{at}") AS m1,
+  var_pop(value) FILTER (s.ts < a."{at}") AS v0, var_pop(value) FILTER (s.ts >= a."{at}") AS v1, regr_intercept(value, i) FILTER (s.ts < a."{at}") AS c0, regr_intercept(value, i) AS c, regr_slope(value, i) FILTER (s.ts < a."{at}") AS b0, regr_slope(value, i) FILTER (s.ts >= a."{at}") AS b1
+  FROM a JOIN s ON s.series_id = a.series_id GROUP BY ALL"""
+query(
+    "alert_types",
+    f"""WITH s AS (SELECT *, row_number() OVER {W} - 1 AS i FROM {{O}}),
+z AS (SELECT series_id, ts, coalesce(CASE WHEN count(*) OVER z >= 30 THEN CASE WHEN stddev_pop(value) OVER z = 0 THEN 0 ELSE (value - avg(value) OVER z) / stddev_pop(value) OVER z END END, 0) AS score FROM s WINDOW z AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
+a AS (SELECT series_id, min(ts) AS start, coalesce(max_by(nx, ts), max(ts)) AS "end" FROM (SELECT *, sum(f) OVER {W} AS r FROM (SELECT *, lead(ts) OVER {W} AS nx, CASE WHEN hit = lag(hit) OVER {W} THEN 0 ELSE 1 END AS f FROM (
+  SELECT *, (score > 3 OR score < -3) AND ts >= min(ts) OVER (PARTITION BY series_id) + INTERVAL 1 SECOND AS hit FROM z))) WHERE hit GROUP BY series_id, r),
+g AS ({_SIDES.replace("{at}", "start")} UNION ALL {_SIDES.replace("{at}", "end")}),
+d AS (SELECT *, n0 > 1 AND n1 > 1 AS enough, n0 + n1 - 2 AS df FROM g)
+SELECT series_id, start, "end", max(n0) FILTER (edge = 'end') - max(n0) FILTER (edge = 'start') < 5 AS outlier,
+  bool_or(coalesce(enough AND abs(m0 - m1) >= {_T} * sqrt((n0 * v0 + n1 * v1) / df * (1.0 / n0 + 1.0 / n1)) AND NOT (c0 < 1.5 * c AND c0 > c / 1.5), false)) AS level_shift,
+  coalesce(max(n0) FILTER (edge = 'start') > 1 AND max(n1) FILTER (edge = 'end') > 1 AND max(b0) FILTER (edge = 'start') * max(b1) FILTER (edge = 'end') < 0, false) AS trend_change,
+  bool_or(coalesce(enough AND (sqrt(v0) >= 2 * sqrt(v1) OR sqrt(v0) <= sqrt(v1) / 2), false)) AS volatility_change
+FROM d GROUP BY series_id, start, "end" """,
+)(lambda s, d: D.classify_alerts(daily_orders(s, d), D.alerts(D.rolling_detector(daily_orders(s, d), 30), -3, 3)))
 query("hourly_ratio", "SELECT series_id, day, hour, round(ratio, 6) AS ratio, round(coalesce((ratio - avg(ratio) OVER w) / nullif(stddev_pop(ratio) OVER w, 0), 0), 6) + 0.0 AS score FROM (SELECT *, v / sum(v) OVER (PARTITION BY series_id, day) AS ratio FROM (SELECT series_id, CAST(ts AS DATE) AS day, CAST(hour(ts) AS INT) AS hour, sum(value) AS v FROM {H} GROUP BY ALL)) WINDOW w AS (PARTITION BY series_id, isodow(day), hour)")(
     lambda s, d: D.hourly_ratio(hourly_events(s, d))
 )
