@@ -107,7 +107,8 @@ class BiLstmCrf:
         if self._fast is None:  # sigmoid(x) = (1 + tanh(x / 2)) / 2: one tanh serves all gates
             half = np.ones((4 * HIDDEN, 1), np.float32)
             half[: 3 * HIDDEN] = 0.5
-            self._fast = {d: (np.ascontiguousarray((self.p["x" + d] + self.p["b" + d]) * half), np.ascontiguousarray(self.p["u" + d] * half)) for d in "fb"}
+            # h comes out doubled, so what is multiplied with it is halved: exact, as all are powers of two
+            self._fast = {d: (np.ascontiguousarray((self.p["x" + d] + self.p["b" + d]) * half), np.ascontiguousarray(self.p["u" + d] * half * np.float32(0.5)), self.p["o" + d] * np.float32(0.5)) for d in "fb"}
         n, length = ids.shape
         turned = np.ascontiguousarray(ids.T)
         out = np.empty((length, len(KINDS) + 1, n), np.float32)
@@ -116,8 +117,7 @@ class BiLstmCrf:
         a, tmp = np.empty((4 * HIDDEN, n), np.float32), np.empty((4 * HIDDEN, n), np.float32)
         e, small = np.empty(out.shape[1:], np.float32), np.empty((HIDDEN, n), np.float32)
         for d in "fb":
-            x, u = self._fast[d]
-            o = self.p["o" + d]
+            x, u, o = self._fast[d]
             h, c = np.zeros((HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32)
             for t in range(length) if d == "f" else range(length - 1, -1, -1):
                 np.take(x, turned[t], axis=1, out=a, mode="clip")
@@ -125,11 +125,11 @@ class BiLstmCrf:
                 a += tmp
                 np.tanh(a, out=a)
                 gates = a[:h3]
-                gates *= 0.5
-                gates += 0.5
+                gates += 1  # twice the gates
                 c *= a[HIDDEN : 2 * HIDDEN]
                 np.multiply(a[:HIDDEN], a[h3:], out=small)
                 c += small
+                c *= 0.5
                 np.tanh(c, out=h)
                 h *= a[2 * HIDDEN : h3]
                 np.matmul(o, h, out=e)
